@@ -6,10 +6,10 @@ the word in clean form. Twins are found by an equi-join on the stripped text and
 characters of twins shows which transformations (encoded as A, decoded as B) the corpus suffers from, and the learned
 ones are applied to all remaining words.
 
-A learned transformation of several bytes (UTF-8, Shift-JIS, EUC-JP read as single bytes) marks a word when all of its
-other characters decode. One between single-byte encodings, where any byte decodes to something, marks a word when its
-repaired form is the commoner one in the corpus, in the same place or as a word of at least three characters. U+FFFD
-marks a text by itself: what stood there is lost.
+A learned transformation of several bytes (UTF-8, Shift-JIS, EUC-JP read as single bytes) marks a word by its bytes where
+these tell (all its other characters decode); any learned transformation marks a word whose repaired form is the commoner
+one in the same place and in the corpus, or a clearly commoner word of at least three characters. U+FFFD marks a text by
+itself: what stood there is lost.
 
 Defined results: null, empty and ASCII texts are no cases; escapes spelled out in ASCII are ASCII; a text in which some
 characters are lost is restored as far as possible (complete = false); repeated rows of a doc_id count once.
@@ -32,8 +32,10 @@ from loomspan.session import cut, table
 MULTI = ("utf-8", "shift_jis", "euc_jp", "gbk")
 SINGLE_TRUE = ("cp1252", "cp1250", "cp1251", "cp1253", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "cp866", "cp437", "cp850", "mac_roman")
 READ_AS = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_2", "iso8859_15", "koi8_r", "cp866", "cp1253", "iso8859_7", "cp1254")
-LOST = "�"
-SUPPORT = 2  # places with twins that a single-byte transformation needs, and the majority of them
+LETTERS = ("cp1251", "koi8_r", "cp866", "cp1253", "iso8859_7")  # whose upper half is mostly letters of one script
+LOST = "\ufffd"
+SUPPORT = 2  # places with twins that a single-byte transformation needs
+SELF_SUPPORT = 2  # different telling words that a transformation of several bytes needs where no twin is at hand
 REPEATED = 3  # a text garbled more often than this stays garbled in part
 WHITE = r"[ \t\r\n\f\x0B]+"
 
@@ -52,18 +54,11 @@ def _bytes_of(codec: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(None)
-def _hypotheses() -> tuple[tuple[str, str, str], ...]:
-    pairs = [(a, b) for a in MULTI for b in READ_AS] + [(a, b) for a in SINGLE_TRUE for b in READ_AS if a != b]
-    return tuple((f"{a}>{b}", a, b) for a, b in pairs)
-
-
-def many_bytes(name: str) -> bool:
-    return name.split(">")[0] in MULTI
+def many_bytes(how: str) -> bool:
+    return how.split(">")[0] in MULTI
 
 
-def repair(word: str, true: str, read_as: str) -> str | None:
-    """The word as it was before it was written in ``true`` and read in ``read_as``; None if it can't have been."""
+def _bytes(word: str, read_as: str) -> bytes | None:
     table_ = _bytes_of(read_as)
     raw = bytearray()
     for c in word:
@@ -73,24 +68,57 @@ def repair(word: str, true: str, read_as: str) -> str | None:
             raw.append(table_[c])
         else:
             return None
+    return bytes(raw)
+
+
+def _decoded(word: str, raw: bytes, true: str) -> str | None:
     try:
         r = raw.decode(true)
     except UnicodeDecodeError:
         return None
-    if r == word or sum(c < "\x80" for c in r) != sum(c < "\x80" for c in word):
+    if r == word or LOST in r:
+        return None
+    if true in ("utf-8", *SINGLE_TRUE) and sum(c < "\x80" for c in r) != sum(c < "\x80" for c in word):
         return None
-    return None if any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") for c in r if c >= "\x80") else r
+    # what was garbled twice still has control characters after one step
+    wrong = ("Cn", "Co", "Cs") if true == "utf-8" else ("Cc", "Cn", "Co", "Cs")
+    return None if any(unicodedata.category(c) in wrong for c in r if c >= "\x80") else r
+
+
+def repair(word: str, true: str, read_as: str) -> str | None:
+    """The word as it was before it was written in ``true`` and read in ``read_as``; None if it can't have been."""
+    raw = _bytes(word, read_as)
+    return None if raw is None else _decoded(word, raw, true)
 
 
 def repairs(word: str) -> list[tuple[str, str]]:
     """(transformation, repaired word) of every hypothesis that the word allows."""
     out = []
-    for name, true, read_as in _hypotheses():
-        if (r := repair(word, true, read_as)) is not None and not (true == "utf-8" and LOST in r):
-            out.append((name, r))
+    for read_as in READ_AS:
+        raw = _bytes(word, read_as)
+        if raw is not None:
+            out += [(f"{true}>{read_as}", r) for true in MULTI + SINGLE_TRUE if true != read_as and (r := _decoded(word, raw, true)) is not None]
     return out
 
 
+#: Blocks of characters that running text is made of (fixed values: first and last code point).
+USUAL = ((0x80, 0x24F), (0x300, 0x52F), (0x1E00, 0x27BF), (0x27E6, 0x27EF), (0x2900, 0x2BFF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF))
+
+
+def telling(how: str, repaired: str) -> bool:
+    """Whether the bytes alone tell that a word is garbled: UTF-8 sequences of usual characters, Latin ones beside Latin
+    letters, or Japanese text all through."""
+    true, read_as = how.split(">")
+    other = [c for c in repaired if c >= "\x80"]
+    if true == "utf-8":
+        if read_as in LETTERS or not all(any(a <= ord(c) <= z for a, z in USUAL) for c in other):
+            return False
+        beside = {x for pair in zip(repaired, repaired[1:]) for x, y in (pair, pair[::-1]) if x >= "\x80" and y.isascii() and y.isalpha() and x.isalpha()}
+        return all(unicodedata.name(c, "").startswith(("LATIN", "FEMININE", "MASCULINE", "MICRO", "MODIFIER")) for c in beside)
+    kana = sum("\u3040" <= c <= "\u30ff" for c in other)
+    return true in ("shift_jis", "euc_jp") and kana >= 3 and all("\u3000" <= c <= "\u9fff" or "\uff00" <= c <= "\uffef" for c in other)
+
+
 def align(garbled: str, clean: str) -> list[tuple[str, str]]:
     """Runs of other than ASCII characters that stand between the same ASCII characters."""
 
@@ -122,55 +150,60 @@ def words_of(documents: DataFrame) -> DataFrame:
     return x.select("doc_id", place.alias("place"), F.regexp_replace("x.w", "[0-9]", "0").alias("word"))
 
 
+REPAIRS = "place bigint, word string, n bigint, how string, repaired string, multi boolean, telling boolean"
+
+
 def possible_repairs(places: DataFrame) -> DataFrame:
-    """place, word, n -> a row for each hypothesis the word allows: how, repaired."""
+    """place, word, n -> a row for each hypothesis the word allows: how, repaired, multi, telling."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[tuple[str, str]]] = {}
+        known: dict[str, list[tuple]] = {}
         for b in batches:
             if len(known) > 200_000:
                 known.clear()
             out = []
             for place, word, n in b.itertuples(index=False):
                 if word not in known:
-                    known[word] = repairs(word)
-                out += [(place, word, n, how, r) for how, r in known[word]]
-            yield pd.DataFrame(out, columns=["place", "word", "n", "how", "repaired"])
+                    known[word] = [(how, r, many_bytes(how), telling(how, r)) for how, r in repairs(word)]
+                out += [(place, word, n, *x) for x in known[word]]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in REPAIRS.split(", ")])
 
-    return places.select("place", "word", "n").mapInPandas(work, "place bigint, word string, n bigint, how string, repaired string")
+    return places.select("place", "word", "n").mapInPandas(work, REPAIRS)
 
 
 def analysed(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(words of documents, possible repairs of places, twins, learned transformations)."""
+    """(words of documents, possible repairs of places, twins, learned transformations).
+
+    Twins: places whose word, repaired, stands there too and is the commoner one, there and in the whole corpus."""
     words = cut(words_of(spread(documents.select("doc_id", "text"))))
     places = cut(words.groupBy("place", "word").agg(F.count("*").alias("n")))
-    maybe = cut(possible_repairs(places))
-    twins = cut(maybe.join(places.select("place", F.col("word").alias("repaired"), F.col("n").alias("n_repaired")), ["place", "repaired"]))
-    votes = twins.groupBy("how").agg(F.count("*").alias("n_places"), F.sum((F.col("n_repaired") > F.col("n")).cast("int")).alias("n_won"), F.sum((F.col("n_repaired") < F.col("n")).cast("int")).alias("n_lost"))
-    utf = F.substring_index("how", ">", 1).isin(*MULTI)
-    learned = votes.where((F.col("n_won") >= F.col("n_lost")) & (utf | ((F.col("n_won") > 0) & (F.col("n_places") >= SUPPORT))))
+    lexicon = cut(places.groupBy("word").agg(F.sum("n").alias("n_all")))
+    maybe = possible_repairs(places).join(lexicon, "word").join(lexicon.select(F.col("word").alias("repaired"), F.col("n_all").alias("n_clean")), "repaired", "left")
+    maybe = cut(maybe.where("telling OR n_clean > n_all"))
+    there = places.select("place", F.col("word").alias("repaired"), F.col("n").alias("n_repaired"))
+    twins = cut(maybe.join(there, ["place", "repaired"]).where("n_repaired > n AND n_clean > n_all"))
+    votes = twins.groupBy("how").agg(F.count("*").alias("n_places"), F.countDistinct("word").alias("n_words"))
+    alone = maybe.where("telling").groupBy("how").agg(F.countDistinct("word").alias("n_telling"))
+    both = votes.join(alone, "how", "full").select("how", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_places", "n_words", "n_telling")])
+    multi = F.substring_index("how", ">", 1).isin(*MULTI)
+    learned = both.where(F.when(multi, (F.col("n_places") > 0) | (F.col("n_telling") >= SELF_SUPPORT)).otherwise(F.col("n_places") >= SUPPORT))
     return words, maybe, twins, cut(learned)
 
 
-def marked_words(words: DataFrame, maybe: DataFrame, twins: DataFrame, learned: DataFrame) -> DataFrame:
-    """place, word, how, repaired of garbled words. ``learned`` has at most a row per hypothesis."""
-    known = F.broadcast(learned.select("how", "n_won"))
-    utf = F.substring_index("how", ">", 1).isin(*MULTI)
-    by_bytes = maybe.join(known, "how").where(utf).select("place", "word", "how", "repaired", "n_won")
-    by_twin = twins.join(known, "how").where(~utf & (F.col("n_repaired") > F.col("n"))).select("place", "word", "how", "repaired", "n_won")
-    lexicon = words.groupBy("word").agg(F.count("*").alias("n_word"))
-    single = maybe.join(known, "how").where(~utf & (F.char_length("repaired") >= 3)).select("place", "word", "how", "repaired", "n_won")
-    by_word = (
-        single.join(lexicon.select(F.col("word").alias("repaired"), F.col("n_word").alias("n_clean")), "repaired").join(lexicon, "word")
-        .where(F.col("n_clean") >= 2 * F.col("n_word")).select("place", "word", "how", "repaired", "n_won")
-    )
-    return by_bytes.unionByName(by_twin).unionByName(by_word)
+def marked_words(maybe: DataFrame, twins: DataFrame, learned: DataFrame) -> DataFrame:
+    """place, word, how, repaired of garbled words: those with a twin, those whose bytes tell, and those whose repaired
+    form is a clearly commoner word of three characters or more. ``learned`` has at most a row per hypothesis."""
+    known = F.broadcast(learned.select("how", "n_places"))
+    cols = ("place", "word", "how", "repaired", "n_places")
+    commoner = (F.char_length("repaired") >= 3) & (F.col("n_clean") >= 2 * F.col("n_all"))
+    by_word = maybe.join(known, "how").where(F.col("telling") | commoner).select(*cols)
+    return by_word.unionByName(twins.join(known, "how").select(*cols))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     words, maybe, twins, learned = analysed(d)
-    bad = marked_words(words, maybe, twins, learned).select("place", "word").distinct()
+    bad = marked_words(maybe, twins, learned).select("place", "word").distinct()
     garbled = words.join(bad, ["place", "word"], "left_semi").select("doc_id")
     lost = d.where(F.col("text").contains(LOST)).select("doc_id")
     return garbled.union(lost).distinct()
@@ -205,7 +238,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, restored text, whether nothing is lost, of every garbled document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
     words, maybe, twins, learned = analysed(d)
-    marks = marked_words(words, maybe, twins, learned).groupBy("place", "word").agg(F.array_sort(F.collect_set(F.struct((-F.col("n_won")).alias("k"), "how"))).alias("hows"))
+    marks = marked_words(maybe, twins, learned).groupBy("place", "word").agg(F.array_sort(F.collect_set(F.struct((-F.col("n_places")).alias("k"), "how"))).alias("hows"))
     per = words.select("doc_id", "place", "word").distinct().join(marks, ["place", "word"]).groupBy("doc_id").agg(F.collect_set(F.struct("word", F.transform("hows", lambda h: h["how"]).alias("hows"))).alias("marks"))
     cases = d.join(per, "doc_id", "left").where(F.col("marks").isNotNull() | F.col("text").contains(LOST))
 
@@ -223,7 +256,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned mappings: transformation, garbled and clean run of aligned twins, places that show it."""
     _, _, twins, learned = analysed(table(spark, sf_dir, "documents"))
-    shown = twins.join(F.broadcast(learned.select("how")), "how").where(F.col("n_repaired") > F.col("n")).select("how", "word", "repaired")
+    shown = twins.join(F.broadcast(learned.select("how")), "how").select("how", "word", "repaired")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
