@@ -36,7 +36,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """participant, grp, t, node, x: embeddings of a label in id order as a series of 8 nodes."""
     e = table(spark, sf_dir, "embeddings")
     t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.select(F.col("label").alias("participant"), (F.col("label") % 2).alias("grp"), t.alias("t"), F.posexplode(F.slice("embedding", 1, WIDE)).alias("node", "v"))
+    rows = e.withColumn("t", t).select(F.col("label").alias("participant"), (F.col("label") % 2).alias("grp"), "t", F.posexplode(F.slice("embedding", 1, WIDE)).alias("node", "v"))
     return rows.select("participant", "grp", "t", "node", F.col("v").cast("double").alias("x"))
 
 
