@@ -37,14 +37,14 @@ def class_mask(c: Column) -> Column:
 
 def path_mask(c: Column) -> Column:
     """Mask of a path: labels of ``key-label`` become ``a``; labels of the name that repeat the folder's sub or ses become
-    ``=``, others ``!``; what stands before the first subject folder becomes ``~``. Lossless for the path's form."""
-    folder_sub = F.regexp_extract(c, r"/sub-([A-Za-z0-9]+)/", 1)
-    folder_ses = F.regexp_extract(c, r"/sub-[A-Za-z0-9]+/ses-([A-Za-z0-9]+)/", 1)
+    ``=``, others ``!``; what stands before the last subject folder becomes ``~``. Lossless for the path's form."""
+    folder_sub = F.regexp_extract(c, r"(?s)^.*/sub-([A-Za-z0-9]+)/", 1)
+    folder_ses = F.regexp_extract(c, r"(?s)^.*/sub-[A-Za-z0-9]+/ses-([A-Za-z0-9]+)/", 1)
     name = F.element_at(F.split(c, "/"), -1)
     name_sub = F.regexp_extract(name, r"^sub-([A-Za-z0-9]+)", 1)
     name_ses = F.regexp_extract(name, r"^sub-[A-Za-z0-9]+_ses-([A-Za-z0-9]+)_", 1)
     agree = F.concat(F.when(folder_sub == name_sub, "=").otherwise("!"), F.when(folder_ses == name_ses, "=").otherwise("!"), F.lit(" "))
-    shape = F.regexp_replace(F.regexp_replace(c, r"(?s)^.*?/(?=sub-[A-Za-z0-9]+/)", "~/"), r"(?<=[/_](?:sub|ses|task|run|feature|atlas)-)[A-Za-z0-9]+(?=[/_]|$)", "a")
+    shape = F.regexp_replace(F.regexp_replace(c, r"(?s)^.*/(?=sub-[A-Za-z0-9]+/)", "~/"), r"(?<=[/_](?:sub|ses|task|run|feature|atlas)-)[A-Za-z0-9]+(?=[/_]|$)", "a")
     return F.concat(agree, F.regexp_replace(shape, r"\p{N}+", "9"))
 
 
