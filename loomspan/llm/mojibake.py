@@ -174,14 +174,15 @@ def possible_repairs(places: DataFrame) -> DataFrame:
 def analysed(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(words of documents, possible repairs of places, twins, learned transformations).
 
-    Twins: places whose word, repaired, stands there too and is the commoner one, there and in the whole corpus."""
+    Twins: places whose word, repaired, stands there too and is the commoner one, there and in the whole corpus (where
+    the bytes tell which of the two is garbled, it need not be the rarer one)."""
     words = cut(words_of(spread(documents.select("doc_id", "text"))))
     places = cut(words.groupBy("place", "word").agg(F.count("*").alias("n")))
     lexicon = cut(places.groupBy("word").agg(F.sum("n").alias("n_all")))
     maybe = possible_repairs(places).join(lexicon, "word").join(lexicon.select(F.col("word").alias("repaired"), F.col("n_all").alias("n_clean")), "repaired", "left")
     maybe = cut(maybe.where("telling OR n_clean > n_all"))
     there = places.select("place", F.col("word").alias("repaired"), F.col("n").alias("n_repaired"))
-    twins = cut(maybe.join(there, ["place", "repaired"]).where("n_repaired > n AND n_clean > n_all"))
+    twins = cut(maybe.join(there, ["place", "repaired"]).where("telling OR (n_repaired > n AND n_clean > n_all)"))
     votes = twins.groupBy("how").agg(F.count("*").alias("n_places"), F.countDistinct("word").alias("n_words"))
     alone = maybe.where("telling").groupBy("how").agg(F.countDistinct("word").alias("n_telling"))
     both = votes.join(alone, "how", "full").select("how", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_places", "n_words", "n_telling")])
