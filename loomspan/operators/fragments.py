@@ -16,13 +16,18 @@ least frag_id).
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.session import cut, table
+from loomspan.session import checkpoint_dir, cut, table
+from loomspan.sources import parquet_blocks
 
 ENTITIES = ("sub", "ses", "task", "run", "feature", "atlas")
 TARGET_BYTES = 64 * 1024 * 1024  # size aimed at for a merged part
+SMALL_FILES = 64  # files that p4_files starts from
 
 
 def series_key(path: Column) -> Column:
@@ -116,7 +121,16 @@ def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(after, "series", "full").select("series", F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_merged": p4_merged, "p4_check": p4_check}
+def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fragments as many small Parquet files in the shared folder, merged by copying their row groups: a row per
+    merged file."""
+    folder = f"{re.sub('^file:/*', '/', checkpoint_dir(spark))}/fragments-{uuid.uuid4().hex}"
+    _once(table(spark, sf_dir, "ts_fragments")).repartition(SMALL_FILES, "frag_id").write.parquet(f"{folder}/small")
+    merged = parquet_blocks.compact(spark, f"{folder}/small", f"{folder}/large", TARGET_BYTES)
+    return cut(merged).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_files", "n_blocks", "n_rows", "n_bytes", "error")
+
+
+QUERIES = {"p4_found": p4_found, "p4_merged": p4_merged, "p4_check": p4_check, "p4_files": p4_files}
 
 _VOL = r"""
 n AS (SELECT DISTINCT frag_id, regexp_replace(list_last(string_split(replace(path, '\', '/'), '/')), '\.[^/]*$', '') AS name, body FROM ts_fragments WHERE path IS NOT NULL),

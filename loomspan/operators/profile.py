@@ -174,4 +174,31 @@ def p3_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p3_masks": p3_masks}
-SQL: dict[str, str] = {}
+_FORM = r"^(?s:.*)/sub-([A-Za-z0-9]+)/(?:ses-([A-Za-z0-9]+)/)?func/sub-([A-Za-z0-9]+)(?:_ses-([A-Za-z0-9]+))?_task-[A-Za-z0-9]+_run-[A-Za-z0-9]+_feature-[A-Za-z0-9]+_atlas-[A-Za-z0-9]+_timeseries\.tsv(?:\.gz)?$"
+
+
+def _digit_mask(v: str) -> str:
+    e = f"floor(log10(abs({v})) + 1e-12)"
+    return f"CASE WHEN {v} = 0 THEN '0' ELSE CASE WHEN {v} < 0 THEN '-' ELSE '+' END || CAST(CAST(floor(abs({v}) / pow(10, {e}) + 1e-9) AS INT) AS VARCHAR) || 'e' || CAST(CAST({e} AS INT) AS VARCHAR) END"
+
+
+_G = [f"regexp_extract(path, '{_FORM}', {k})" for k in (1, 2, 3, 4)]
+_CELLS = f"""f AS (SELECT DISTINCT file_id AS rec_id, load_id, path, tr FROM timeseries_files), n AS (SELECT DISTINCT node_id AS rec_id, load_id, coverage FROM node_sets),
+cells AS (
+  SELECT 'timeseries_files' AS tbl, 'path' AS col, load_id, rec_id, path IS NOT NULL AS there, path IS NULL OR (regexp_matches(path, '{_FORM}') AND {_G[0]} = {_G[2]} AND {_G[1]} = {_G[3]}) AS fits,
+    concat_ws(' | ', regexp_replace(regexp_extract(path, '^((?s:.*?))/sub-[A-Za-z0-9]+/', 1), '[0-9]+', '9', 'g'), regexp_extract(path, '(\\.[A-Za-z0-9.]+)$', 1)) AS shape FROM f
+  UNION ALL SELECT 'timeseries_files', 'tr', load_id, rec_id, tr IS NOT NULL, tr IS NULL OR tr BETWEEN 0.2 AND 10, {_digit_mask('tr')} FROM f
+  UNION ALL SELECT 'node_sets', 'coverage', load_id, rec_id, coverage IS NOT NULL, coverage IS NULL OR coverage BETWEEN 0 AND 1, {_digit_mask('coverage')} FROM n),
+per AS (SELECT tbl, col, load_id, count(*) AS n, count(*) FILTER (NOT there) / count(*) AS share FROM cells GROUP BY ALL),
+nl AS (SELECT *, quantile_cont(share, 0.5) OVER (PARTITION BY tbl, col) AS middle, sum(n) OVER (PARTITION BY tbl, col) - n AS others FROM per),
+c AS (SELECT tbl, col, load_id, shape, count(*) AS n FROM cells WHERE there AND fits GROUP BY ALL), t AS (SELECT tbl, col, load_id, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT t.tbl, t.col, t.load_id, m.shape, t.total, coalesce(c.n, 0) / t.total AS p FROM t JOIN (SELECT DISTINCT tbl, col, shape FROM c) m ON t.tbl = m.tbl AND t.col = m.col LEFT JOIN c ON c.tbl = t.tbl AND c.col = t.col AND c.load_id = t.load_id AND c.shape = m.shape),
+q0 AS (SELECT tbl, col, shape, quantile_cont(p, 0.5) AS q FROM g GROUP BY ALL), q1 AS (SELECT tbl, col, shape, q / nullif(sum(q) OVER (PARTITION BY tbl, col), 0) AS q FROM q0),
+js AS (SELECT g.tbl, g.col, g.load_id, max(total) AS n, sum(CAST(p + q > 0 AS INT)) AS k,
+  sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END / 2 + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END / 2) AS js FROM g JOIN q1 ON g.tbl = q1.tbl AND g.col = q1.col AND g.shape = q1.shape WHERE q IS NOT NULL GROUP BY ALL)"""
+SQL = {
+    "p3_found": f"""WITH {_CELLS}
+SELECT DISTINCT tbl, col, 'value' AS issue, load_id, rec_id FROM cells WHERE NOT fits
+UNION ALL SELECT tbl, col, 'nulls', load_id, 0 FROM nl WHERE others > 0 AND share - middle >= {NULL_GAP} AND share >= {NULL_RATIO} * middle AND share - middle >= {Z_MIN} * sqrt((middle * (1 - middle) + 1.0 / others) / n)
+UNION ALL SELECT tbl, col, 'shift', load_id, 0 FROM (SELECT *, count(*) OVER (PARTITION BY tbl, col) AS loads FROM js) WHERE loads > 1 AND js - 2 * (k - 1) / (8 * ln(2) * n) >= {SHIFT_MIN}"""
+}
