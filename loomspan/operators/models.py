@@ -161,6 +161,7 @@ def _loss(p: P.Problem, lags: list[int]):
 
 mk_loss = _model(lambda p, x: [(_loss(p, [1])[1][0], _loss(p, [1, 2])[1][0])], "loss double, loss_two_lags double")
 mk_bwd = _model(lambda p, x: _grid((lambda ml: ml[0].gradient(ml[1][1]))(_loss(p, [1]))), "i int, j int, v double")
+mk_bwd_multi = _model(lambda p, x: _grid((lambda ml: ml[0].gradient(ml[1][1]))(_loss(p, [1, 2]))), "i int, j int, v double")
 
 
 def _parameter_rows(p: P.Problem) -> list[tuple]:
