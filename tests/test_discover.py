@@ -7,7 +7,7 @@ from loomspan.sources import discover, sinks
 from tests.test_sources import element, mat_matrix, nifti
 
 
-def touch(path, text=""):
+def touch(path, text="x"):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text)
 
