@@ -91,7 +91,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    r = targets.join(per, "source", "left").select("source", "weight", "max_repeats", *[zero(c) for c in ("n_docs", "n_tokens", "n_copies", "most_copies", "mixed_tokens")])
+    r = targets.select("source", "weight", "max_repeats").join(per, "source", "left").select("source", "weight", "max_repeats", *[zero(c) for c in ("n_docs", "n_tokens", "n_copies", "most_copies", "mixed_tokens")])
     everything = Window.partitionBy(F.lit(1))  # the few listed sources
     target = F.try_divide(F.when(F.col("n_tokens") > 0, F.col("weight")), F.sum(F.when(F.col("n_tokens") > 0, F.col("weight"))).over(everything))
     return r.withColumn("target", F.coalesce(target, F.lit(0.0))).withColumn("share", F.coalesce(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(everything)), F.lit(0.0)))
