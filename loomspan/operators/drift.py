@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +26,7 @@ from loomspan.session import cut, table
 
 MISSING = ("", "n/a")  # fixed values
 NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\Z")
+BLOCK = 1024  # places of files folded in one go
 MAX_COLUMNS = 10_000  # a union schema wider than this is refused, not cut
 
 SCHEMA = "run_id bigint, dataset string, seq int, side string, fields array<string>, kinds array<string>"
@@ -141,11 +142,10 @@ def between(a: list[str], b: list[str]) -> tuple[list[tuple[str, str]], list[str
 class Fold:
     """State of one dataset and side while its schemas pass by in order: the last names and each name's last known type."""
 
-    def __init__(self) -> None:
-        self.names: list[str] | None = None
-        self.kinds: dict[str, str | None] = {}
+    def __init__(self, names: list[str] | None = None, kinds: dict[str, str | None] | None = None) -> None:
+        self.names, self.kinds = names, dict(kinds or {})
 
-    def step(self, names: list[str], kinds: dict[str, str | None]) -> list[tuple]:
+    def step(self, names: list[str], kinds: dict[str, str | None], known: Callable = bool) -> list[tuple]:
         """Changes as (field, old field, kind of change, old type, new type)."""
         out: list[tuple] = []
         if self.names is None:
@@ -163,31 +163,94 @@ class Fold:
             for n, k in kinds.items():
                 was = self.kinds.get(n)
                 if k is not None:
-                    if was is not None and was != k:
+                    if was is not None and known(was) and was != k:
                         out.append((n, None, "retyped", was, k))
                     self.kinds[n] = k
         self.names = names
         return out
 
 
-def schema_changes(schemas: DataFrame) -> DataFrame:
-    """Ordered differences of each dataset and side. The schemas (names and types, no values) are sorted by dataset and
-    seq and stream past a fold that keeps one schema: memory does not grow with a dataset."""
+def _folded(rows: DataFrame, keys: list[str], order: list[str], begin: Callable, schema: str) -> DataFrame:
+    """Rows sorted by keys and order pass by one state per key; ``begin()`` gives (row -> output rows, () -> last rows)."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, Fold()
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, take, end = None, None, lambda: []
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                if (r.dataset, r.side) != at:
-                    at, state = (r.dataset, r.side), Fold()
-                names = list(r.fields)
-                for field, old, change, was, now in state.step(names, dict(zip(names, r.kinds))):
-                    out.append((r.run_id, r.dataset, r.seq, r.side, field, old, change, was, now))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-    ordered = schemas.repartition(F.coalesce("dataset", F.lit("")), "side").sortWithinPartitions("dataset", "side", "seq", "run_id")
-    return ordered.mapInPandas(fold, CHANGE)
+            for r in b.astype(object).where(b.notna(), None).itertuples(index=False):
+                key = tuple(getattr(r, k) for k in keys)
+                if key != at:
+                    out += end()
+                    at, (take, end) = key, begin()
+                out += take(r)
+            yield pd.DataFrame(out, columns=names).astype(object)
+        yield pd.DataFrame(end(), columns=names).astype(object)
+
+    return rows.repartition(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
+
+
+def _summary() -> tuple[Callable, Callable]:
+    """A block of files without what stood before it: its first and last names, the first types, and the types at its end,
+    where ``<name`` is the type that the first file's name had before the block."""
+    fold, seen = Fold(), {}
+
+    def take(r) -> list[tuple]:
+        names = list(r.fields)
+        kinds = dict(zip(names, r.kinds))
+        if not seen:
+            seen.update(dataset=r.dataset, side=r.side, block=r.block, first=names, kinds=list(r.kinds))
+        fold.step(names, kinds if fold.names is not None else {n: k or f"<{n}" for n, k in kinds.items()}, known=lambda k: not k.startswith("<"))
+        return []
+
+    def end() -> list[tuple]:
+        return [(*seen.values(), fold.names, [fold.kinds[n] for n in fold.names])] if seen else []
+
+    return take, end
+
+
+def _entries() -> tuple[Callable, Callable]:
+    """From the summaries of a dataset's blocks in order: the names and types that stand before each block."""
+    state: dict = {"names": None, "kinds": {}}
+
+    def take(r) -> list[tuple]:
+        out = [] if state["names"] is None else [(r.dataset, r.side, r.block, state["names"], [state["kinds"].get(n) for n in state["names"]])]
+        fold = Fold(state["names"], state["kinds"])
+        fold.step(list(r.first), dict(zip(r.first, r.first_kinds)))
+        state["names"] = list(r.last)
+        state["kinds"] = {n: fold.kinds.get(k[1:]) if k is not None and k.startswith("<") else k for n, k in zip(r.last, r.last_kinds)}
+        return out
+
+    return take, lambda: []
+
+
+def _changes() -> tuple[Callable, Callable]:
+    fold = Fold()
+
+    def take(r) -> list[tuple]:
+        names = list(r.fields)
+        kinds = dict(zip(names, r.kinds))
+        if r.entry == 0:
+            fold.names, fold.kinds = names, kinds
+            return []
+        return [(r.run_id, r.dataset, r.seq, r.side, *x) for x in fold.step(names, kinds)]
+
+    return take, lambda: []
+
+
+def schema_changes(schemas: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Ordered differences of each dataset and side.
+
+    A dataset's files are cut into blocks by their place. Each block is first summed up on its own, the summaries (one per
+    block) are folded in order to what stands before each block, and then every block is folded from there: a dataset,
+    however many files it has, is many tasks. Sorted rows stream past, so memory does not grow with a block."""
+    place = schemas.withColumn("block", F.coalesce(F.floor(F.col("seq") / block), F.lit(-1)).cast("long"))
+    place = cut(place)
+    summaries = _folded(place, ["dataset", "side", "block"], ["seq", "run_id"], _summary, "dataset string, side string, block bigint, first array<string>, first_kinds array<string>, last array<string>, last_kinds array<string>")
+    entries = _folded(summaries, ["dataset", "side"], ["block"], _entries, "dataset string, side string, block bigint, fields array<string>, kinds array<string>")
+    none = F.lit(None)
+    rows = place.withColumn("entry", F.lit(1)).unionByName(entries.select("*", F.lit(0).alias("entry"), none.cast("bigint").alias("run_id"), none.cast("int").alias("seq")))
+    return _folded(rows, ["dataset", "side", "block"], ["entry", "seq", "run_id"], _changes, CHANGE)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,31 @@ def test_unified_table(spark):
     c = S.unified(files(spark, rows), "confounds_json").collect()
     assert len(c) == 1 and c[0].component == "c"
     assert S.unified(files(spark, []), "confounds").count() == 0
+
+
+def test_blocks_give_what_one_fold_gives(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for d in ("x", "y", None):
+        names = list("abcd")
+        for seq in range(1, 15):
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(names))
+                what = rng.randint(0, 3)
+                if what == 0:
+                    names[k] = names[k] + "_"
+                elif what == 1 and len(names) > 2:
+                    names.pop(k)
+                elif what == 2:
+                    names.insert(k, f"n{seq}{k}")
+                else:
+                    rng.shuffle(names)
+            cells = [rng.choice(["n/a", "n/a", "1", "true", "x"]) for _ in names]
+            rows.append((len(rows), d, None if seq == 14 and d == "y" else seq, tsv(names, cells) if seq % 6 else None, None))
+    s = S.file_schemas(files(spark, rows))
+    whole = sorted(map(str, S.schema_changes(s, 10_000).collect()))
+    assert len(whole) > 20
+    for block in (1, 2, 5):
+        assert sorted(map(str, S.schema_changes(s, block).collect())) == whole
