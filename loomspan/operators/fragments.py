@@ -27,6 +27,7 @@ from loomspan.sources import parquet_blocks
 
 ENTITIES = ("sub", "ses", "task", "run", "feature", "atlas")
 TARGET_BYTES = 64 * 1024 * 1024  # size aimed at for a merged part
+STRETCH = 4096  # volumes whose bytes are summed in one task
 SMALL_FILES = 64  # files that p4_files starts from
 
 
@@ -98,8 +99,12 @@ def consolidate(fragments: DataFrame, target_bytes: int = TARGET_BYTES) -> DataF
         .select("series", "frag_id", "t", F.lit(1).alias("n"), F.lit(0).alias("copied"), F.col("line").alias("block"))
     )
     blocks = copied.unionByName(single).withColumn("bytes", F.octet_length("block") + 1)
-    run = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    parts = blocks.withColumn("part", F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / target_bytes))
+    # bytes before a block: those of the stretches of volumes before its own, then those within the stretch
+    blocks = blocks.withColumn("stretch", F.floor(F.col("t") / STRETCH))
+    before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = blocks.groupBy("series", "stretch").agg(F.sum("bytes").alias("bytes")).select("series", "stretch", before(Window.partitionBy("series").orderBy("stretch")).alias("base"))
+    inner = blocks.withColumn("inner", before(Window.partitionBy("series", "stretch").orderBy("t", "frag_id")))
+    parts = inner.join(base, ["series", "stretch"]).withColumn("part", F.floor((F.col("base") + F.col("inner")) / target_bytes))
     return (
         parts.groupBy("series", "part")
         .agg(
