@@ -30,9 +30,11 @@ TOLERANCE = 1e-10
 
 
 def sizes(documents: DataFrame) -> DataFrame:
-    """doc_id, source, n_tokens."""
-    once = documents.select("doc_id", "source", "text").dropDuplicates(["doc_id"])
-    return encode(once, counts_only=True).join(once.select("doc_id", "source"), "doc_id")
+    """doc_id, source, n_tokens. Texts are read once and never shuffled but to spread a small file; of rows with the same
+    doc_id the one with the fewest tokens counts (ties: the first source)."""
+    counted = encode(documents, counts_only=True, carry=("source",))
+    one = counted.groupBy("doc_id").agg(F.min(F.struct("n_tokens", "source")).alias("x"))
+    return one.select("doc_id", "x.source", "x.n_tokens")
 
 
 def usable_targets(histogram: DataFrame, targets: DataFrame) -> tuple[dict[str, float], float]:

@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_WORD = 384  # bytes
 KNOWN_WORDS = 1_000_000  # words a worker remembers; it forgets all of them when there are more
 BATCH_WORDS = 20_000  # words of one DuckDB query
+BATCH_TEXTS = 1_000
 
 CONTRACT = """
 WITH RECURSIVE r(step, word, pos, tok) AS (
@@ -142,11 +145,26 @@ class Encoder:
             part = short[k : k + BATCH_WORDS]
             self.known.update(zip((w for _, w, _ in part), self._contract([b for _, _, b in part])))
 
+    def split_and_learn(self, texts: list[str | None]) -> list[list[str]]:
+        words = [self.split(t) if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(words)))
+        return words
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts after each other, offsets of the texts)."""
+        flat, offsets, of = array("i"), [0], self.known.__getitem__
+        for ws in self.split_and_learn(texts):
+            flat.extend(chain.from_iterable(map(of, ws)))
+            offsets.append(len(flat))
+        return np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32), np.array(offsets, np.int32)
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.split(t) if t else [] for t in texts]
-        self.learn({w for ws in split for w in ws})
-        known = self.known
-        return [[i for w in ws for i in known[w]] for ws in split]
+        flat, offsets = self.encode_flat(texts)
+        return [flat[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        words = self.split_and_learn(texts)
+        return [sum(map(len, map(self.known.__getitem__, ws))) for ws in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -164,22 +182,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(least) if df.rdd.getNumPartitions() < least else df
 
 
-def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, counts_only: bool = False) -> DataFrame:
-    """doc_id, text -> doc_id, ids (or n_tokens)."""
+def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, counts_only: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text -> doc_id, ids (or n_tokens), and the columns to carry along."""
     path = os.path.join(tokenizers, BYTE_BPE)
+    kept = documents.select("doc_id", *carry)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for start in range(0, b.num_rows, 2000):
-                part = b.slice(start, 2000)
-                ids = enc.encode(part.column("text").to_pylist())
+            for start in range(0, b.num_rows, BATCH_TEXTS):
+                part = b.slice(start, BATCH_TEXTS)
+                texts = part.column("text").to_pylist()
                 if counts_only:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "n_tokens"])
+                    got, name = pa.array(enc.count(texts), pa.int64()), "n_tokens"
                 else:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                    flat, offsets = enc.encode_flat(texts)
+                    got, name = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "ids"
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", *carry)], got], names=["doc_id", *carry, name])
 
-    return spread(documents.select("doc_id", "text")).mapInArrow(work, "doc_id bigint, n_tokens bigint" if counts_only else "doc_id bigint, ids array<int>")
+    schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes) + (", n_tokens bigint" if counts_only else ", ids array<int>")
+    return spread(documents.select("doc_id", *carry, "text")).mapInArrow(work, schema)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,8 +211,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each source: documents, tokens, least and most of a document."""
     d = table(spark, sf_dir, "documents")
-    n = encode(d, counts_only=True)
-    return n.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
+    return encode(d, counts_only=True, carry=("source",)).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.min("n_tokens").alias("least"), F.max("n_tokens").alias("most"))
 
 
 QUERIES = {"p6_ids": p6_ids, "p6_counts": p6_counts}
