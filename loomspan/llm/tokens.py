@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 LONG_WORD = 384  # bytes
 KNOWN_WORDS = 1_000_000  # words a worker remembers; it forgets all of them when there are more
 BATCH_WORDS = 20_000  # words of one DuckDB query
-BATCH_TEXTS = 1_000
+BATCH_BYTES = 8 * 1024 * 1024  # of texts encoded in one go, if it isn't a single longer one
 
 CONTRACT = """
 WITH RECURSIVE r(step, word, pos, tok) AS (
@@ -190,8 +191,10 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, counts_only: bool
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for start in range(0, b.num_rows, BATCH_TEXTS):
-                part = b.slice(start, BATCH_TEXTS)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.flatnonzero(np.diff(size // BATCH_BYTES, prepend=-1))
+            for start, stop in zip(starts, [*starts[1:], b.num_rows]):
+                part = b.slice(start, stop - start)
                 texts = part.column("text").to_pylist()
                 if counts_only:
                     got, name = pa.array(enc.count(texts), pa.int64()), "n_tokens"
