@@ -38,6 +38,7 @@ SUPPORT = 2  # places with twins that a single-byte transformation needs
 SELF_SUPPORT = 2  # different telling words that a transformation of several bytes needs where no twin is at hand
 REPEATED = 3  # a text garbled more often than this stays garbled in part
 WHITE = r"[ \t\r\n\f\x0B]+"
+UNSPACED = "\u3000-\u9fff\uac00-\ud7af\uff00-\uffef"  # scripts written without spaces: a run of them is a word of its own
 
 
 @lru_cache(None)
@@ -106,15 +107,18 @@ USUAL = ((0x80, 0x24F), (0x300, 0x52F), (0x1E00, 0x27BF), (0x27E6, 0x27EF), (0x2
 
 
 def telling(how: str, repaired: str) -> bool:
-    """Whether the bytes alone tell that a word is garbled: UTF-8 sequences of usual characters, Latin ones beside Latin
-    letters, or Japanese text all through."""
+    """Whether the bytes alone tell that a word is garbled: UTF-8 sequences of usual characters, Latin ones (or several of
+    an unspaced script) beside Latin letters, or Japanese text all through."""
     true, read_as = how.split(">")
     other = [c for c in repaired if c >= "\x80"]
     if true == "utf-8":
         if read_as in LETTERS or not all(any(a <= ord(c) <= z for a, z in USUAL) for c in other):
             return False
+        unspaced = [c for c in other if "\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7af" or "\uff00" <= c <= "\uffef"]
+        if len(unspaced) == 1:  # three characters may make one by chance (an accent, a quote and an ellipsis)
+            return False
         beside = {x for pair in zip(repaired, repaired[1:]) for x, y in (pair, pair[::-1]) if x >= "\x80" and y.isascii() and y.isalpha() and x.isalpha()}
-        return all(unicodedata.name(c, "").startswith(("LATIN", "FEMININE", "MASCULINE", "MICRO", "MODIFIER")) for c in beside)
+        return all(unicodedata.name(c, "").startswith(("LATIN", "FEMININE", "MASCULINE", "MICRO", "MODIFIER")) for c in beside.difference(unspaced))
     kana = sum("\u3040" <= c <= "\u30ff" for c in other)
     return true in ("shift_jis", "euc_jp") and kana >= 3 and all("\u3000" <= c <= "\u9fff" or "\uff00" <= c <= "\uffef" for c in other)
 
@@ -143,7 +147,7 @@ def stripped(c: Column) -> Column:
 def words_of(documents: DataFrame) -> DataFrame:
     """doc_id, place, word: every word with other than ASCII characters (digits generalised); the place is a hash of the
     stripped words before and after it."""
-    arr = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.split("text", WHITE).alias("ws"))
+    arr = documents.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.split(F.regexp_replace("text", f"[{UNSPACED}]+", " $0 "), WHITE).alias("ws"))
     near = F.filter(F.transform("ws", lambda w, i: F.struct(F.get("ws", i - 1).alias("p"), w.alias("w"), F.get("ws", i + 1).alias("n"))), lambda x: x["w"].rlike(r"[^\x00-\x7F]"))
     x = arr.select("doc_id", F.explode(near).alias("x"))
     place = F.xxhash64(stripped(F.coalesce("x.p", F.lit(""))), stripped(F.coalesce("x.n", F.lit(""))))
@@ -232,7 +236,7 @@ def restore(text: str, words: dict[str, list[str]]) -> str:
             w = nxt
         return w
 
-    return re.sub(r"[^ \t\r\n\f\x0b]+", word, text)
+    return re.sub(rf"[{UNSPACED}]+|[^ \t\r\n\f\x0b{UNSPACED}]+", word, text)
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

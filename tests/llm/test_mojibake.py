@@ -8,6 +8,7 @@ CLEAN = [
 GARBLED = [
     CLEAN[0].encode().decode("latin-1"), CLEAN[1].encode().decode("cp1252"), CLEAN[3].encode().decode("mac_roman"), CLEAN[2].encode("cp1251").decode("cp1252"), CLEAN[1].encode("cp1252").decode("mac_roman"), CLEAN[0].encode().decode("cp437"),
     CLEAN[1].encode().decode("cp1252").encode().decode("cp1252"), "W�hrend der Messung", CLEAN[9].encode("cp1250").decode("cp1252"), CLEAN[4] + " " + CLEAN[1].encode().decode("cp1252"),
+    "領域の" + "被覆率は低かった。".encode().decode("latin-1"),
 ]
 
 
@@ -27,7 +28,7 @@ def test_found_and_restored(spark, tmp_path):
     assert sorted(got) == [10_000 + k for k in range(len(GARBLED))]
     back = {r.doc_id - 10_000: r for r in restored.collect()}
     assert [back[k].restored for k in (0, 1, 2, 3, 4, 5, 6, 8)] == [CLEAN[k] for k in (0, 1, 3, 2, 1, 0, 1, 9)]
-    assert back[9].restored == CLEAN[4] + " " + CLEAN[1] and back[7].complete is False and back[0].complete
+    assert back[9].restored == CLEAN[4] + " " + CLEAN[1] and back[10].restored == CLEAN[11] and back[7].complete is False and back[0].complete
 
 
 def test_nothing_garbled(spark, tmp_path):
@@ -44,6 +45,7 @@ def test_repair_and_alignment():
     assert M.repair("fÃ¼r", "utf-8", "cp1252") == "für" and M.repair("für", "utf-8", "cp1252") is None
     assert M.align("AusreiÃŸer", "Ausreißer") == [("ÃŸ", "ß")] and M.align("abc", "abd é") == []
     assert not M.telling("utf-8>mac_roman", M.repair("l’étape", "utf-8", "mac_roman"))
+    assert M.repair("café”…", "utf-8", "cp1252") and not M.telling("utf-8>cp1252", M.repair("café”…", "utf-8", "cp1252"))
     assert M.telling("shift_jis>cp1252", "領域の被覆率は低かった")
 
 
