@@ -347,7 +347,7 @@ def ag_parcel_mean(spark, d):
     """Mean per label and step; voxels with a value that is no number count as 0 but are counted."""
     e = table(spark, d, "events")
     label = (F.col("user_id") % 25).cast("int")
-    x = e.select(label.alias("label"), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - C.ORIGIN_US) / 86_400_000_000).cast("int").alias("t"), F.when(F.col("value").isNull() | F.isnan("value") | (F.col("value") > 1e300), 0.0).otherwise(F.col("value")).alias("v"))
+    x = e.select(label.alias("label"), C.day(F.col("ts")).cast("int").alias("t"), F.when(F.col("value").isNull() | F.isnan("value") | (F.col("value") > 1e300), 0.0).otherwise(F.col("value")).alias("v"))
     m = x.groupBy("label", "t").agg((F.sum("v") / F.count("*")).alias("m"), F.count("*").alias("n"))
     return C.labels(spark, d).select(F.col("pos").alias("label")).join(m, "label", "left").select("label", "t", r("m", 8).alias("m"), F.coalesce("n", F.lit(0)).alias("n"))
 

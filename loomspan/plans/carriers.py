@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.session import table
@@ -12,10 +12,15 @@ ORIGIN_US = 1_704_067_200_000_000  # 2024-01-01
 WIDE = 8
 
 
+def day(ts: Column) -> Column:
+    """Days since the origin, whatever the session's time zone."""
+    return F.unix_date(ts.cast("date")) - ORIGIN_US // 86_400_000_000
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """participant, node, t, x: events summed into 6-hour steps, missing steps 0."""
     ev = table(spark, sf_dir, "events")
-    step = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - ORIGIN_US) / (HOURS * 3_600_000_000)).cast("int")
+    step = (day(F.col("ts")) * (24 // HOURS) + F.floor(F.hour("ts") / HOURS)).cast("int")
     cells = ev.where(F.col("event_type").isNotNull()).select((F.col("user_id") % PEOPLE).cast("int").alias("participant"), F.col("event_type").alias("kind"), step.alias("t"), "value")
     sums = cells.groupBy("participant", "kind", "t").agg(F.sum("value").alias("x"))
     kinds = sums.groupBy("participant", "kind").agg(F.count("*").alias("n"))
