@@ -6,9 +6,8 @@ leaves the bits that can hold an orphan; they are decoded to (key, month) and on
 the parents that begin or end within that month.
 
 Defined results: a null reference is no case; a reference without a time is a case (no parent is known to be in force at
-an unknown time); repeated rows count once, also
-where deliveries of one record differ; a parent without a key or a start is never in force; an empty parent table
-makes every reference an orphan. Extra columns are ignored: only the named ones are read.
+an unknown time); repeated rows count once, also where deliveries of one record differ; a parent without a key or a
+start is never in force; an empty parent table makes every reference an orphan. Only the named columns are read.
 """
 
 from __future__ import annotations

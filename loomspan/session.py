@@ -49,4 +49,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def strip_outer(c) -> F.Column:
     """A string without outer white space of any kind (Unicode spaces and control separators too)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f​﻿]+|[\s\x1c-\x1f​﻿]+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
