@@ -3,7 +3,8 @@
 Each fragment gets a footer (series, columns, first and last volume, number of volumes, a bitmap of its volumes in blocks
 of 64). Fragments that share no volume with another are compatible blocks: their encoded lines are copied as they stand.
 Only fragments that overlap (found on the footers, never on the values) are taken apart, so that each volume comes out
-once. The totals are validated against the footers.
+once. The totals are validated against the footers. The merged blocks of all series are then packed one after another
+into files of the target size, each with a footer that says where the volumes of a series and sidecar stand.
 
 Text lines stand in for the column chunks of a columnar file here, because the fragments are rows with a text body;
 :mod:`loomspan.sources.parquet_blocks` does the same on real Parquet files, copying row groups byte by byte.
@@ -11,7 +12,7 @@ Text lines stand in for the column chunks of a columnar file here, because the f
 Defined results: a fragment with a null path or a file name without a subject belongs to no series and is in no pair; a
 null, empty or header-only body holds no volume; lines whose first cell is no whole number are no volumes; repeated
 deliveries of a frag_id count once; of a volume that came with different values the last modified one stays (ties: the
-least frag_id).
+least frag_id); a volume keeps the sidecar of the fragment it came from, as it is written (null stays null).
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from loomspan.session import checkpoint_dir, cut, table
 from loomspan.sources import parquet_blocks
 
 ENTITIES = ("sub", "ses", "task", "run", "feature", "atlas")
-TARGET_BYTES = 64 * 1024 * 1024  # size aimed at for a merged part
+TARGET_BYTES = 64 * 1024 * 1024  # size aimed at for a merged file
+BUCKETS = 4096  # groups of series whose bytes are summed in one task
 STRETCH = 4096  # volumes whose bytes are summed in one task
-SMALL_FILES = 64  # files that p4_files starts from
+SMALL_FILES, FRAGMENTS_A_FILE = 64, 256  # p4_files starts from a file for each so many fragments, and so many files at least
 
 
 def series_key(path: Column) -> Column:
@@ -80,42 +82,63 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consolidate(fragments: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """Merged parts: series, part, first_t, last_t, n_volumes, n_blocks, n_copied, n_bytes, body (lines by volume).
+    """Pieces of the merged files: file, series, sidecar, start (bytes before it in all files), first_t, last_t, n_volumes,
+    n_blocks, n_copied, n_bytes, body (lines by volume).
 
     Blocks of fragments without overlap are copied as lines stand; the others give only the lines that no later
-    delivery replaces. A series larger than ``target_bytes`` is cut into parts."""
+    delivery replaces. All blocks stand in one order (series by hash, sidecar, volume), which is cut into files every
+    ``target_bytes``: small series share a file, a large one goes over several."""
     once = cut(_once(fragments))
     foot = footers(once)
     met = cut(overlapping(foot))
     touched = met.select(F.col("frag_lo").alias("frag_id")).union(met.select("frag_hi")).distinct()
-    base = once.select("frag_id", series_key(F.col("path")).alias("series"), "modified_at", lines_of(F.col("body")).alias("rows")).where(F.col("series").isNotNull() & (F.size("rows") > 0))
+    base = once.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", "modified_at", lines_of(F.col("body")).alias("rows")).where(F.col("series").isNotNull() & (F.size("rows") > 0))
     base = base.withColumn("sorted", F.transform("rows", lambda r: r["t"]) == F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["t"]))))
     marked = base.join(touched.withColumn("touched", F.lit(True)), "frag_id", "left").withColumn("copy", F.col("touched").isNull() & F.col("sorted"))
-    copied = marked.where("copy").select("series", "frag_id", F.col("rows")[0]["t"].alias("t"), F.size("rows").alias("n"), F.lit(1).alias("copied"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block"))
+    copied = marked.where("copy").select("series", "sidecar", "frag_id", F.col("rows")[0]["t"].alias("t"), F.element_at("rows", -1)["t"].alias("end"), F.size("rows").alias("n"), F.lit(1).alias("copied"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block"))
     w = Window.partitionBy("series", "t").orderBy(F.col("modified_at").desc_nulls_last(), "frag_id", "line")
     single = (
-        marked.where(~F.col("copy")).select("series", "frag_id", "modified_at", F.explode("rows").alias("r")).select("series", "frag_id", "modified_at", "r.t", "r.line")
+        marked.where(~F.col("copy")).select("series", "sidecar", "frag_id", "modified_at", F.explode("rows").alias("r")).select("series", "sidecar", "frag_id", "modified_at", "r.t", "r.line")
         .withColumn("k", F.row_number().over(w)).where("k = 1")
-        .select("series", "frag_id", "t", F.lit(1).alias("n"), F.lit(0).alias("copied"), F.col("line").alias("block"))
+        .select("series", "sidecar", "frag_id", "t", F.col("t").alias("end"), F.lit(1).alias("n"), F.lit(0).alias("copied"), F.col("line").alias("block"))
     )
-    blocks = copied.unionByName(single).withColumn("bytes", F.octet_length("block") + 1)
-    # bytes before a block: those of the stretches of volumes before its own, then those within the stretch
-    blocks = blocks.withColumn("stretch", F.floor(F.col("t") / STRETCH))
+    blocks = copied.unionByName(single).withColumn("bytes", (F.octet_length("block") + 1).cast("long"))
+    # bytes before a block: those of the buckets before its own, of the stretches of volumes before its own within the
+    # bucket, then those within the stretch
+    stretch = ["bucket", "series", "sidecar", "stretch"]
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS))).withColumn("stretch", F.floor(F.col("t") / STRETCH))
     before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = blocks.groupBy("series", "stretch").agg(F.sum("bytes").alias("bytes")).select("series", "stretch", before(Window.partitionBy("series").orderBy("stretch")).alias("base"))
-    inner = blocks.withColumn("inner", before(Window.partitionBy("series", "stretch").orderBy("t", "frag_id")))
-    parts = inner.join(base, ["series", "stretch"]).withColumn("part", F.floor((F.col("base") + F.col("inner")) / target_bytes))
+    sums = cut(blocks.groupBy(*stretch).agg(F.sum("bytes").alias("bytes")))
+    buckets = sums.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).select("bucket", before(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("first"))  # BUCKETS rows at most
+    bases = sums.withColumn("base", before(Window.partitionBy("bucket").orderBy("series", "sidecar", "stretch"))).join(buckets, "bucket").select(*[F.col(c).alias(f"{c}_") for c in stretch[1:]], (F.col("first") + F.col("base")).alias("base"))
+    inner = blocks.withColumn("inner", before(Window.partitionBy(*stretch[1:]).orderBy("t", "frag_id")))
+    same = (F.col("series") == F.col("series_")) & F.col("sidecar").eqNullSafe(F.col("sidecar_")) & (F.col("stretch") == F.col("stretch_"))
+    placed = inner.join(bases, same).withColumn("start", F.col("base") + F.col("inner")).withColumn("file", F.floor(F.col("start") / target_bytes))
     return (
-        parts.groupBy("series", "part")
+        placed.groupBy("file", "series", "sidecar")
         .agg(
-            F.min("t").alias("first_t"), F.sum("n").alias("n_volumes"), F.count("*").alias("n_blocks"), F.sum("copied").alias("n_copied"), F.sum("bytes").alias("n_bytes"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "block"))), lambda b: b["block"]), "\n").alias("body"),
+            F.min("start").alias("start"), F.min("t").alias("first_t"), F.max("end").alias("last_t"), F.sum("n").alias("n_volumes"), F.count("*").alias("n_blocks"), F.sum("copied").alias("n_copied"), F.sum("bytes").alias("n_bytes"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "block"))), lambda b: b["block"]), "\n").alias("body"),
         )
     )
 
 
+def packed(pieces: DataFrame) -> DataFrame:
+    """Merged files: file, n_series, n_volumes, n_blocks, n_copied, n_bytes, footer (series, sidecar, offset and bytes in the
+    body, first_t, last_t, volumes of each piece, in the order they stand), body."""
+    piece = F.struct("start", "series", "sidecar", "n_bytes", "first_t", "last_t", "n_volumes", "body")
+    f = pieces.groupBy("file").agg(
+        F.countDistinct("series").alias("n_series"), F.sum("n_volumes").alias("n_volumes"), F.sum("n_blocks").alias("n_blocks"), F.sum("n_copied").alias("n_copied"), F.sum("n_bytes").alias("n_bytes"),
+        F.array_sort(F.collect_list(piece)).alias("pieces"),
+    )
+    entry = lambda p: F.struct(
+        p["series"].alias("series"), p["sidecar"].alias("sidecar"), (p["start"] - F.col("pieces")[0]["start"]).alias("offset"), (p["n_bytes"] - 1).alias("n_bytes"), p["first_t"].alias("first_t"), p["last_t"].alias("last_t"), p["n_volumes"].alias("n_volumes")
+    )
+    return f.select("file", "n_series", "n_volumes", "n_blocks", "n_copied", "n_bytes", F.transform("pieces", entry).alias("footer"), F.array_join(F.transform("pieces", lambda p: p["body"]), "\n").alias("body"))
+
+
 def p4_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consolidate(table(spark, sf_dir, "ts_fragments"))
+    return packed(consolidate(table(spark, sf_dir, "ts_fragments")))
 
 
 def p4_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +153,8 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fragments as many small Parquet files in the shared folder, merged by copying their row groups: a row per
     merged file."""
     folder = f"{re.sub('^file:/*', '/', checkpoint_dir(spark))}/fragments-{uuid.uuid4().hex}"
-    _once(table(spark, sf_dir, "ts_fragments")).repartition(SMALL_FILES, "frag_id").write.parquet(f"{folder}/small")
+    once = cut(_once(table(spark, sf_dir, "ts_fragments")))
+    once.repartition(max(SMALL_FILES, once.count() // FRAGMENTS_A_FILE), "frag_id").write.parquet(f"{folder}/small")
     merged = parquet_blocks.compact(spark, f"{folder}/small", f"{folder}/large", TARGET_BYTES)
     return cut(merged).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_files", "n_blocks", "n_rows", "n_bytes", "error")
 

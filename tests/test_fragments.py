@@ -57,3 +57,23 @@ def test_empty(spark):
 
 def test_totals_agree(spark, tiny):
     assert all(r.n_before == r.n_after for r in G.p4_check(spark, tiny).collect())
+
+
+def test_small_series_share_files(spark):
+    rows = [(i, P.replace("sub-1_", f"sub-{i % 40}_") % i, f"/a/{i % 40}-{i % 2}.json" if i % 3 else None, 0, T0, body(range(5 * i, 5 * i + 5)), "clash", 1) for i in range(400)]
+    f = spark.createDataFrame(rows, SCHEMA)
+    total = sum(len(x) + 1 for r in rows for x in r[5].split("\n")[1:-1])
+    for target in (10**6, 2000):
+        out = G.packed(G.consolidate(f, target)).collect()
+        assert len(out) == -(-total // target)  # 1 or a few, not one for each of 40 series
+        assert all(abs(r.n_bytes - target) <= 100 for r in out[:-1] if len(out) > 1 and r.file < len(out) - 1)
+        seen = {}
+        for r in out:
+            assert len(r.body) == r.n_bytes - 1 and sum(e.n_volumes for e in r.footer) == r.n_volumes
+            for e in r.footer:
+                lines = r.body[e.offset : e.offset + e.n_bytes].split("\n")
+                assert len(lines) == e.n_volumes and int(lines[0].split("\t")[0]) == e.first_t and int(lines[-1].split("\t")[0]) == e.last_t
+                for x in lines:
+                    assert (key := (e.series.split("|")[0], int(x.split("\t")[0]))) not in seen
+                    seen[key] = e.sidecar
+        assert seen == {(str(i % 40), t): r[2] for i, r in enumerate(rows) for t in range(5 * i, 5 * i + 5)}
