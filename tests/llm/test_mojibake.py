@@ -54,3 +54,17 @@ def test_very_long_text(spark, tmp_path):
     rows = [(1, long), (2, long.encode().decode("latin-1")), (3, "größer " * 3)]
     found, _ = ids(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in found.collect()] == [2]
+
+
+def test_copies_of_one_garbled_text(spark, tmp_path):
+    rest = ["Испытуемый сместил голову влево.", "Сигнал сместил средний уровень на несколько единиц.", "Снова сместил голову на место."]
+    wrong = (CLEAN[2] + " Повторное измерение прошло.").encode("cp1251").decode("cp1252")
+    alone = "Калибровка завершена успешно.".encode("cp1251").decode("cp1252")
+    rows = [(k, t) for k, t in enumerate([*CLEAN, CLEAN[2] + " Дважды.", *rest]) if t != wrong] + [(1000 + k, wrong) for k in range(200)] + [(5000, alone)]
+    found, restored = ids(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == [*range(1000, 1200), 5000]
+    assert {r.doc_id: r.restored for r in restored.collect()}[5000] == "Калибровка завершена успешно."
+
+
+def test_one_script():
+    assert M.one_script("Êàëèáðîâêà", "Калибровка") and not M.one_script("Калибровка", "Êàëèáðîâêà") and not M.one_script("────", "дддд") and not M.one_script("прогон", "∩≡επεφ")
