@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,16 +17,16 @@ from loomspan.plans import search as P
 from loomspan.session import cut, table
 
 RUN = 512  # volumes of a run; a longer series is cut into runs
-NODES, TR, BAND, BETA = 6, 2.0, (0.02, 0.2), 0.02
+TR, BAND, BETA = 2.0, (0.02, 0.2), 0.02
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """participant, run, t, x: embeddings of a label in id order as runs of at most RUN volumes of NODES signals."""
+    """participant, run, t, x: embeddings of a label in id order as runs of at most RUN volumes, all values of an embedding as nodes."""
     e = table(spark, d, "embeddings")
     part = F.floor(F.col("vec_id") / (RUN * 16))  # ids of a stretch: the numbering within it is no window over a whole label
     t = F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")) - 1
     x = e.withColumn("part", part).withColumn("t", t)
-    return x.select(F.col("label").alias("participant"), (F.col("part") * 1000 + F.floor(F.col("t") / RUN)).alias("run"), (F.col("t") % RUN).alias("t"), F.transform(F.slice("embedding", 1, NODES), lambda v: v.cast("double")).alias("x"))
+    return x.select(F.col("label").alias("participant"), (F.col("part") * 1000 + F.floor(F.col("t") / RUN)).alias("run"), (F.col("t") % RUN).alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def per_run(spark: SparkSession, d: str, f: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
@@ -83,7 +84,7 @@ def mk_gain(spark, d):
 
 
 def mk_ols_clean(spark, d):
-    return per_run(spark, d, lambda x: [(t, n, round(float(v), 6)) for (t, n), v in np.ndenumerate(filters.clean(x[:, :4], x[:, 4:], None, TR, BAND))], "t int, node int, x double")
+    return per_run(spark, d, lambda x: [(t, n, round(float(v), 6)) for (t, n), v in np.ndenumerate(filters.clean(x[:, :-2], x[:, -2:], None, TR, BAND))], "t int, node int, x double")
 
 
 def mk_extract_run(spark, d):
@@ -150,13 +151,13 @@ def _recursion(p: P.Problem, lags: list[int]) -> hopf.Moments:
     return hopf.moments(_jac(p), p.beta, TR, lags, filters.autocorrelation(TR, BAND, tol=1e-6))
 
 
-mk_fwd = _model(lambda p, x: [(lag, *c) for lag, s in zip((0, 1), _recursion(p, [0, 1]).at) for c in _grid(s[:NODES, :NODES])], "lag int, i int, j int, v double")
-mk_fwd_multi = _model(lambda p, x: [(lag, *c) for lag, s in zip((0, 1, 3), _recursion(p, [0, 1, 3]).at) for c in _grid(s[:NODES, :NODES])], "lag int, i int, j int, v double")
+mk_fwd = _model(lambda p, x: [(lag, *c) for lag, s in zip((0, 1), _recursion(p, [0, 1]).at) for c in _grid(s[: x.shape[1], : x.shape[1]])], "lag int, i int, j int, v double")
+mk_fwd_multi = _model(lambda p, x: [(lag, *c) for lag, s in zip((0, 1, 3), _recursion(p, [0, 1, 3]).at) for c in _grid(s[: x.shape[1], : x.shape[1]])], "lag int, i int, j int, v double")
 
 
 def _loss(p: P.Problem, lags: list[int]):
     m = _recursion(p, [0, *lags])
-    return m, hopf.moment_loss(m, NODES, p.fc, [p.cov] * len(lags))
+    return m, hopf.moment_loss(m, len(p.omega), p.fc, [p.cov] * len(lags))
 
 
 mk_loss = _model(lambda p, x: [(_loss(p, [1])[1][0], _loss(p, [1, 2])[1][0])], "loss double, loss_two_lags double")
@@ -166,7 +167,7 @@ mk_bwd_multi = _model(lambda p, x: _grid((lambda ml: ml[0].gradient(ml[1][1]))(_
 
 def _parameter_rows(p: P.Problem) -> list[tuple]:
     m, (_, g, _, _) = _loss(p, [1])
-    dc, da, dw = hopf.parameter_gradients(m.gradient(g), NODES)
+    dc, da, dw = hopf.parameter_gradients(m.gradient(g), len(p.omega))
     return [("C", i, j, v) for i, j, v in _grid(dc)] + [("a", i, i, float(v)) for i, v in enumerate(da)] + [("omega", i, i, float(v)) for i, v in enumerate(dw)]
 
 
@@ -212,7 +213,7 @@ def _cross(p: P.Problem, x: np.ndarray, lam: float) -> tuple[float, float]:
     out, seen = [], []
     parts = [P.run_moments(filters.bandpass(h, TR, BAND), 1) for h in _halves(x)]
     for a, b in ((0, 1), (1, 0)):
-        f = fits.fit_moments(*parts[a], p.sc, p.sc > 0, p.omega, TR, (1,), -0.02, p.beta, BAND, shrink=lam * NODES**2 / max(float((p.sc**2).sum()), 1e-12), max_iter=15)
+        f = fits.fit_moments(*parts[a], p.sc, p.sc > 0, p.omega, TR, (1,), -0.02, p.beta, BAND, shrink=lam * len(p.omega) ** 2 / max(float((p.sc**2).sum()), 1e-12), max_iter=15)
         out.append(fits.fit_error(parts[b][0], f.fc, parts[b][1], f.cov)["fit_rmse"])
         seen.append(f.metrics["fit_rmse"])
     return float(np.mean(out)), float(np.mean(seen))
@@ -269,7 +270,7 @@ mk_ndte = _model(lambda p, x: _grid(flow.ndte(x, 4)) if len(x) > 12 else [], "i
 def mk_linear_ndte(spark, d):
     def f(p: P.Problem, x: np.ndarray) -> list[tuple]:
         m = _recursion(p, [0, 1, 2, 3])
-        return _grid(flow.transfer(flow.toeplitz_covariance([s[:NODES, :NODES] for s in m.at]), NODES, 4))
+        return _grid(flow.transfer(flow.toeplitz_covariance([s[: x.shape[1], : x.shape[1]] for s in m.at]), x.shape[1], 4))
 
     return per_run(spark, d, lambda x: f(_problem(x), x), "i int, k int, ndte double")
 
@@ -328,9 +329,10 @@ def ag_perm(spark, d):
 
 def _group(spark, d, **more) -> P.Problem:
     """The problem of the average over all runs: N x N means come to the driver, nothing that grows with the runs."""
-    e = per_run(spark, d, lambda x: (lambda p: [(k, v, w, z) for k, (v, w, z) in enumerate(zip(p.fc.ravel().tolist(), p.cov.ravel().tolist(), np.repeat(p.omega, NODES).tolist()))])(_problem(x)), "k int, fc double, cov double, omega double")
+    e = per_run(spark, d, lambda x: (lambda p: [(k, v, w, z) for k, (v, w, z) in enumerate(zip(p.fc.ravel().tolist(), p.cov.ravel().tolist(), np.repeat(p.omega, len(p.omega)).tolist()))])(_problem(x)), "k int, fc double, cov double, omega double")
     r = e.groupBy("k").agg(F.avg("fc").alias("fc"), F.avg("cov").alias("cov"), F.avg("omega").alias("omega")).orderBy("k").collect()
-    fc, cov, omega = (np.array([x[c] for x in r]).reshape(NODES, NODES) for c in ("fc", "cov", "omega"))
+    n = round(len(r) ** 0.5)
+    fc, cov, omega = (np.array([x[c] for x in r]).reshape(n, n) for c in ("fc", "cov", "omega"))
     sc = np.maximum(fc, 0.0) + 0.05
     np.fill_diagonal(sc, 0.0)
     return P.Problem(0.2 * sc / sc.max(), omega[:, 0], fc, cov, TR, BAND, beta=BETA, **more)
@@ -362,7 +364,8 @@ def mk_continuous(spark, d):
 
 def mk_run_search(spark, d):
     """Search with a heterogeneous profile of a over the nodes."""
-    return _found(spark, P.adaptive(spark, _group(spark, d, profile=np.linspace(-1, 1, NODES)), G_GRID, (-0.08, -0.04, 0.0, 0.04)))
+    p = _group(spark, d)
+    return _found(spark, P.adaptive(spark, replace(p, profile=np.linspace(-1, 1, len(p.omega))), G_GRID, (-0.08, -0.04, 0.0, 0.04)))
 
 
 def mk_pso(spark, d):
