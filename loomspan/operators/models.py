@@ -1,4 +1,7 @@
-"""Queries of the numerical kernels: a task holds one run (at most RUN volumes), one grid point or one seed."""
+"""Queries of the numerical kernels: a task holds one run (fewer than RUN + LEAST volumes), one grid point or one seed.
+
+A label's volumes are numbered over the whole table; a remainder below LEAST belongs to the run before it. A run that is
+too short for a kernel, and one whose kernel fails, gives one row with its error."""
 
 from __future__ import annotations
 
@@ -17,27 +20,50 @@ from loomspan.plans import search as P
 from loomspan.session import cut, table
 
 RUN = 512  # volumes of a run; a longer series is cut into runs
+SHORT, LEAST = 20, 40  # volumes that a run needs, and that it needs for a simulation
+STRETCH = 16 * RUN  # ids that are numbered in one task
 TR, BAND, BETA = 2.0, (0.02, 0.2), 0.02
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """participant, run, t, x: embeddings of a label in id order as runs of at most RUN volumes, all values of an embedding as nodes."""
-    e = table(spark, d, "embeddings")
-    part = F.floor(F.col("vec_id") / (RUN * 16))  # ids of a stretch: the numbering within it is no window over a whole label
+    """participant, run, t, x: embeddings of a label in id order as runs, all values of an embedding as nodes."""
+    return runs_of(table(spark, d, "embeddings"))
+
+
+def runs_of(e: DataFrame) -> DataFrame:
+    e = e.withColumn("part", F.floor(F.col("vec_id") / STRETCH))  # the numbering within a stretch is no window over a whole label
+    counts = e.groupBy("label", "part").agg(F.count("*").alias("k"))  # a row for each stretch
+    w = Window.partitionBy("label")
+    before = F.coalesce(F.sum("k").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("label").alias("label_"), F.col("part").alias("part_"), before.alias("before"), F.sum("k").over(w).alias("n"))
     t = F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")) - 1
-    x = e.withColumn("part", part).withColumn("t", t)
-    return x.select(F.col("label").alias("participant"), (F.col("part") * 1000 + F.floor(F.col("t") / RUN)).alias("run"), (F.col("t") % RUN).alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    x = e.withColumn("t", t).join(counts, F.col("label").eqNullSafe(F.col("label_")) & (F.col("part") == F.col("part_"))).withColumn("t", F.col("before") + F.col("t"))
+    run = F.least(F.floor(F.col("t") / RUN), F.greatest(F.lit(0), F.floor((F.col("n") - LEAST) / RUN)))
+    x = x.withColumn("run", run)
+    return x.select(F.col("label").alias("participant"), "run", (F.col("t") - F.col("run") * RUN).alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
-def per_run(spark: SparkSession, d: str, f: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
-    """Rows that f makes of each run's T x N array; a run shorter than 20 volumes gives none."""
-    names = ["participant", "run", *[c.split()[0] for c in columns.split(", ")]]
+def _worked(key: tuple, pdf: pd.DataFrame, f: Callable[[np.ndarray], list[tuple]], names: list[str], least: int) -> pd.DataFrame:
+    """Rows that f makes of a run, or one row with its error; ``error`` is the last of the names."""
+    try:
+        if len(pdf) < least:
+            raise ValueError(f"too few volumes: {len(pdf)}")
+        rows = [(*key, *r) for r in f(np.stack(pdf.sort_values("t")["x"].to_numpy()))]
+        rows = [r if len(r) == len(names) else (*r, None) for r in rows]
+    except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
+        rows = [(*key, *[None] * (len(names) - len(key) - 1), str(e))]
+    return pd.DataFrame(rows, columns=names)
 
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("t")["x"].to_numpy())
-        return pd.DataFrame([(*key, *r) for r in (f(x) if len(x) >= 20 else [])], columns=names)
 
-    return runs(spark, d).groupBy("participant", "run").applyInPandas(work, "participant int, run bigint, " + columns)
+def _with_error(columns: str) -> str:
+    return columns if columns.endswith(", error string") else columns + ", error string"
+
+
+def per_run(spark: SparkSession, d: str, f: Callable[[np.ndarray], list[tuple]], columns: str) -> DataFrame:
+    """Rows that f makes of each run's T x N array; a run shorter than SHORT volumes gives one with its error."""
+    columns = _with_error(columns)
+    names = ["participant", "run", *[c.split()[0] for c in columns.split(", ")]]
+    return runs(spark, d).groupBy("participant", "run").applyInPandas(lambda key, pdf: _worked(key, pdf, f, names, SHORT), "participant int, run bigint, " + columns)
 
 
 def _grid(m: np.ndarray, k: int = 9) -> list[tuple]:
@@ -226,7 +252,7 @@ def ag_cv_lambda(spark, d):
     """Mean held-out error of each shrinkage weight; the grid grows upwards while its top is best (twice at most)."""
     lams, done = [0.0, 0.1, 1.0], None
     for _ in range(3):
-        now = cut(per_run(spark, d, lambda x, ls=tuple(lams): [(lam, *_cross(_problem(x), x, lam)) for lam in ls], "lambda double, cv_fit_rmse double, cv_train_fit_rmse double").groupBy("lambda").agg(F.avg("cv_fit_rmse").alias("cv_fit_rmse"), F.avg("cv_train_fit_rmse").alias("cv_train_fit_rmse"), F.count("*").alias("n_runs")))
+        now = cut(per_run(spark, d, lambda x, ls=tuple(lams): [(lam, *_cross(_problem(x), x, lam)) for lam in ls], "lambda double, cv_fit_rmse double, cv_train_fit_rmse double").where("error IS NULL").groupBy("lambda").agg(F.avg("cv_fit_rmse").alias("cv_fit_rmse"), F.avg("cv_train_fit_rmse").alias("cv_train_fit_rmse"), F.count("*").alias("n_runs")))
         done = now if done is None else done.union(now)
         seen = {r["lambda"]: r["cv_fit_rmse"] for r in done.collect()}  # a row for each weight tried
         if not seen or min(seen, key=seen.get) < max(seen):
@@ -237,12 +263,9 @@ def ag_cv_lambda(spark, d):
 
 def _seeds(spark, d, f: Callable[[P.Problem, np.ndarray, int], list[tuple]], columns: str, n: int = 4) -> DataFrame:
     """A task for each run and seed: rows of (participant, run) are repeated for the seeds, which are a column."""
+    columns = _with_error(columns)
     names = ["participant", "run", "seed", *[c.split()[0] for c in columns.split(", ")]]
-
-    def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("t")["x"].to_numpy())
-        return pd.DataFrame([(*key, *r) for r in (f(_problem(x), x, int(key[2])) if len(x) >= 40 else [])], columns=names)
-
+    work = lambda key, pdf: _worked(key, pdf, lambda x: f(_problem(x), x, int(key[2])), names, LEAST)
     return runs(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).groupBy("participant", "run", "seed").applyInPandas(work, "participant int, run bigint, seed int, " + columns)
 
 
@@ -256,15 +279,15 @@ def mk_simulate(spark, d):
 
 def mk_sim_moments(spark, d):
     m = _seeds(spark, d, lambda p, x, s: [(i, j, v, w) for (i, j, v), (_, _, w) in zip(*map(_grid, _simulated(p, s)[:2]))], "i int, j int, fc double, cov double", 2)
-    return m.groupBy("participant", "run", "i", "j").agg(F.avg("fc").alias("fc"), F.avg("cov").alias("cov"), F.count("*").alias("n_seeds"))
+    return m.groupBy("participant", "run", "i", "j").agg(F.avg("fc").alias("fc"), F.avg("cov").alias("cov"), F.count("fc").alias("n_seeds"), F.max("error").alias("error"))
 
 
 def ag_noise_floor(spark, d):
     e = _seeds(spark, d, lambda p, x, s: [(fits.fit_error(p.fc, (m := _simulated(p, s))[0], p.cov, m[1])["fit_rmse"],)], "fit_rmse double", 3)
-    return e.groupBy("participant", "run").agg(F.avg("fit_rmse").alias("mean"), F.stddev_pop("fit_rmse").alias("sd"), F.count("*").alias("n"))
+    return e.groupBy("participant", "run").agg(F.avg("fit_rmse").alias("mean"), F.stddev_pop("fit_rmse").alias("sd"), F.count("fit_rmse").alias("n"), F.max("error").alias("error"))
 
 
-mk_ndte = _model(lambda p, x: _grid(flow.ndte(x, 4)) if len(x) > 12 else [], "i int, k int, ndte double")
+mk_ndte = _model(lambda p, x: _grid(flow.ndte(x, 4)), "i int, k int, ndte double")
 
 
 def mk_linear_ndte(spark, d):
@@ -281,8 +304,10 @@ def surrogates(spark, d, n: int = 20) -> DataFrame:
 
 def mk_surrogates(spark, d):
     """Significance of each link: surrogates are made one a task, their statistics by a task for each run."""
-    s = surrogates(spark, d).groupBy("participant", "run", "i", "k").agg(F.sort_array(F.collect_list("ndte")).alias("s"))  # a number for each surrogate
-    x = mk_ndte(spark, d).join(s, ["participant", "run", "i", "k"]).where("i <> k")
+    all_ = surrogates(spark, d)
+    s = all_.where("error IS NULL").groupBy("participant", "run", "i", "k").agg(F.sort_array(F.collect_list("ndte")).alias("s"))  # a number for each surrogate
+    x = mk_ndte(spark, d).drop("error").join(s, ["participant", "run", "i", "k"]).where("i <> k")
+    failed = all_.where("error IS NOT NULL").groupBy("participant", "run").agg(F.max("error").alias("error"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -294,7 +319,8 @@ def mk_surrogates(spark, d):
                 out.append((r.participant, r.run, r.i, r.k, r.ndte, z, (1 + int((v >= r.ndte).sum())) / (1 + len(v)), float(special.normal_sf(z)), special.reflected_kde_p(v, r.ndte)))
             yield pd.DataFrame(out, columns=["participant", "run", "i", "k", "ndte", "z", "p_emp", "p_gauss", "p_kde"])
 
-    return x.mapInPandas(work, "participant int, run bigint, i int, k int, ndte double, z double, p_emp double, p_gauss double, p_kde double")
+    done = x.mapInPandas(work, "participant int, run bigint, i int, k int, ndte double, z double, p_emp double, p_gauss double, p_kde double")
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -328,9 +354,11 @@ def ag_perm(spark, d):
 
 
 def _group(spark, d, **more) -> P.Problem:
-    """The problem of the average over all runs: N x N means come to the driver, nothing that grows with the runs."""
+    """The problem of the average over all runs: N x N means come to the driver, nothing that grows with the runs; an error without any run."""
     e = per_run(spark, d, lambda x: (lambda p: [(k, v, w, z) for k, (v, w, z) in enumerate(zip(p.fc.ravel().tolist(), p.cov.ravel().tolist(), np.repeat(p.omega, len(p.omega)).tolist()))])(_problem(x)), "k int, fc double, cov double, omega double")
-    r = e.groupBy("k").agg(F.avg("fc").alias("fc"), F.avg("cov").alias("cov"), F.avg("omega").alias("omega")).orderBy("k").collect()
+    r = e.where("error IS NULL").groupBy("k").agg(F.avg("fc").alias("fc"), F.avg("cov").alias("cov"), F.avg("omega").alias("omega")).orderBy("k").collect()
+    if not r:
+        raise ValueError("no run has enough volumes")
     n = round(len(r) ** 0.5)
     fc, cov, omega = (np.array([x[c] for x in r]).reshape(n, n) for c in ("fc", "cov", "omega"))
     sc = np.maximum(fc, 0.0) + 0.05
