@@ -168,12 +168,48 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def all_cells(df: DataFrame, tbl: str, delivered: str, load: str = "load_id") -> DataFrame:
+    """tbl, col, load_id, mask, shape (the mask compared between loads) for every column of every record but its load; a
+    record that came more than once, at other times, counts once."""
+    df = df.dropDuplicates([c for c in df.columns if c != delivered])
+    kinds = {c: t for c, t in df.dtypes if c != load and not t.startswith(("array", "map", "struct", "binary"))}
+
+    def cell(c: str, kind: str) -> Column:
+        v = F.col(f"`{c}`")
+        mask = path_mask(v) if c == "path" else number_mask(v) if kind in ("double", "float") else class_mask(v.cast("string"))
+        return F.struct(F.lit(c).alias("col"), mask.alias("mask"), F.when(v.isNotNull(), root_mask(v) if c == "path" else mask).alias("shape"))
+
+    cells = df.select(F.col(load).alias("load_id"), F.explode(F.array(*[cell(c, k) for c, k in kinds.items()])).alias("c"))
+    return cells.select(F.lit(tbl).alias("tbl"), "c.col", "load_id", "c.mask", "c.shape")
+
+
+def load_report(cells: DataFrame) -> DataFrame:
+    """tbl, col, issue, load_id, mask, n, measure: for each load its masks that are rare in the column (``rare``: records,
+    the mask's share), and the loads whose nulls (``nulls``: records, share of nulls) or masks (``shift``: values,
+    divergence in bits) stand out."""
+    counts = cut(mask_counts(cells))
+    rare = counts.join(rare_masks(counts).where("rare").select("tbl", "col", "mask", "share"), ["tbl", "col", "mask"]).select("tbl", "col", F.lit("rare").alias("issue"), "load_id", "mask", "n", F.col("share").alias("measure"))
+    none = F.lit(None).cast("string").alias("mask")
+    nulls = null_loads(counts).select("tbl", "col", F.lit("nulls").alias("issue"), "load_id", none, "n", F.col("share").alias("measure"))
+    shifts = shifted_loads(cut(mask_counts(cells, "shape"))).select("tbl", "col", F.lit("shift").alias("issue"), "load_id", none, "n", F.col("js").alias("measure"))
+    return rare.unionByName(nulls).unionByName(shifts)
+
+
+def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_cells(table(spark, sf_dir, "timeseries_files"), "timeseries_files", "written_at").unionByName(all_cells(table(spark, sf_dir, "node_sets"), "node_sets", "built_at"))
+
+
 def p3_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masks of the watched columns with counts, shares and whether they are rare."""
-    return rare_masks(mask_counts(_cells(spark, sf_dir)))
+    """Masks of every column with counts, shares and whether they are rare."""
+    return rare_masks(mask_counts(_all(spark, sf_dir)))
+
+
+def p3_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare masks, null shares and mask distributions of every column by load."""
+    return load_report(_all(spark, sf_dir))
 
 
-QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p3_masks": p3_masks}
+QUERIES = {"p3_found": p3_found, "p3_profile": p3_profile, "p3_masks": p3_masks, "p3_loads": p3_loads}
 _FORM = r"^(?s:.*)/sub-([A-Za-z0-9]+)/(?:ses-([A-Za-z0-9]+)/)?func/sub-([A-Za-z0-9]+)(?:_ses-([A-Za-z0-9]+))?_task-[A-Za-z0-9]+_run-[A-Za-z0-9]+_feature-[A-Za-z0-9]+_atlas-[A-Za-z0-9]+_timeseries\.tsv(?:\.gz)?$"
 
 

@@ -71,3 +71,16 @@ def test_values_against_brute_force(spark, tiny):
         if r.coverage is not None and not 0 <= r.coverage <= 1:
             want.add(("node_sets", "coverage", r.node_id))
     assert got == want
+
+
+def test_every_column_by_load(spark, tiny):
+    rows = [(k, load, None if load == 3 and k % 2 else f"s{k}.json", "01" if load != 4 else "ses-01", 1.5, k % 7) for load in range(1, 7) for k in range(load * 1000, load * 1000 + 200)]
+    rows += [(99, 2, "s9.json", "01", float("nan"), 1)]
+    df = spark.createDataFrame([(*r, w) for r in rows for w in (1, 2)], "rec long, load_id int, sidecar string, ses string, tr double, kept int, came int")
+    cells = P.all_cells(df, "t", "came")
+    got = {(r.col, r.issue, r.load_id, r.mask, r.n) for r in P.load_report(cells).collect()}
+    assert got == {("sidecar", "nulls", 3, None, 200), ("ses", "shift", 4, None, 200), ("tr", "rare", 2, "NaN", 1)}
+    for t in ("timeseries_files", "node_sets"):
+        columns = set(spark.read.parquet(f"{tiny}/{t}.parquet").columns) - {"load_id"}
+        assert {r.col for r in P.p3_masks(spark, tiny).where(F.col("tbl") == t).select("col").distinct().collect()} == columns
+    assert P.load_report(cells.where("false")).count() == 0
