@@ -96,16 +96,18 @@ def toeplitz(c: DataFrame, n_lags: int) -> DataFrame:
     return half.groupBy("participant", "a", "b").agg(F.sum("v").alias("v"))
 
 
-def fourier(panel: DataFrame, n_freq: int) -> DataFrame:
-    """participant, node, f, re, im, steps of the centred series at the first n_freq frequencies."""
+def fourier(panel: DataFrame, n_freq: int | None = None) -> DataFrame:
+    """participant, node, f, re, im, steps of the centred series at the first n_freq frequencies, by default at all up to
+    the Nyquist frequency."""
     c = centred(panel)
     T = c.groupBy("participant").agg((F.max("t") + 1).alias("steps"))
     a = F.lit(2 * math.pi) * F.col("f") * F.col("t") / F.col("steps")
-    e = c.join(T, "participant").select("participant", "node", "t", "x", "steps", F.explode(F.sequence(F.lit(0), F.lit(n_freq - 1))).alias("f"))
+    last = F.floor(F.col("steps") / 2).cast("int") if n_freq is None else F.lit(n_freq - 1)
+    e = c.join(T, "participant").select("participant", "node", "t", "x", "steps", F.explode(F.sequence(F.lit(0), last)).alias("f"))
     return e.groupBy("participant", "node", "f", "steps").agg(F.sum(F.col("x") * F.cos(a)).alias("re"), F.sum(-F.col("x") * F.sin(a)).alias("im"))
 
 
-def spectrum(panel: DataFrame, n_freq: int, tr: float = TR) -> DataFrame:
+def spectrum(panel: DataFrame, n_freq: int | None = None, tr: float = TR) -> DataFrame:
     """participant, node, f, freq, p: one-sided periodogram |X|^2 / (T / tr)."""
     return fourier(panel, n_freq).select("participant", "node", "f", (F.col("f") / (F.col("steps") * tr)).alias("freq"), ((F.pow("re", 2) + F.pow("im", 2)) * tr / F.col("steps")).alias("p"))
 
@@ -201,13 +203,51 @@ def mk_psd(spark, d):
     return spectrum(C.panel(spark, d), 20).select("participant", "node", "f", r("freq", 9).alias("freq"), r("p", 3).alias("p"))
 
 
-def mk_csd(spark, d):
-    """Cross-periodograms X X^H tr / T as real and imaginary parts."""
-    x = fourier(C.panel(spark, d), 6)
+def cross_periodograms(panel: DataFrame, n_freq: int | None = None) -> DataFrame:
+    """participant, f, steps, i, j, re, im of X X^H tr / T."""
+    x = fourier(panel, n_freq)
     y = x.select("participant", "f", F.col("node").alias("j"), F.col("re").alias("rj"), F.col("im").alias("ij"))
     z = x.withColumnRenamed("node", "i").join(y, ["participant", "f"])
     k = F.lit(TR) / F.col("steps")
-    return z.select("participant", "f", "i", "j", r((F.col("re") * F.col("rj") + F.col("im") * F.col("ij")) * k, 3).alias("re"), r((F.col("im") * F.col("rj") - F.col("re") * F.col("ij")) * k, 3).alias("im"))
+    return z.select("participant", "f", "steps", "i", "j", ((F.col("re") * F.col("rj") + F.col("im") * F.col("ij")) * k).alias("re"), ((F.col("im") * F.col("rj") - F.col("re") * F.col("ij")) * k).alias("im"))
+
+
+def average_periodograms(runs: list[DataFrame]) -> DataFrame:
+    """f, i, j, re, im, n_items: cross-periodograms averaged over runs and participants on the coarsest grid; of a finer
+    grid, the mean of the frequencies whose first coarse one at or above is f."""
+    items = [cross_periodograms(p).withColumn("run", F.lit(k)) for k, p in enumerate(runs)]
+    x = items[0]
+    for y in items[1:]:
+        x = x.unionByName(y)
+    one = x.agg(F.min("steps").alias("coarse"), F.countDistinct("participant", "run").alias("n_items"))
+    x = x.crossJoin(F.broadcast(one))  # one row
+    at = F.least(F.ceil(F.col("f") * F.col("coarse") / F.col("steps") - 1e-9), F.floor(F.col("coarse") / 2)).cast("int")
+    bins = x.groupBy("participant", "run", at.alias("at"), "i", "j", "n_items").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    return bins.groupBy(F.col("at").alias("f"), "i", "j", "n_items").agg((F.sum("re") / F.first("n_items")).alias("re"), (F.sum("im") / F.first("n_items")).alias("im"))
+
+
+def mk_csd(spark, d):
+    """Cross-periodograms as real and imaginary parts; the lowest 6 frequencies, as its SQL has them (all: mk_csd_all)."""
+    return cross_periodograms(C.panel(spark, d), 6).select("participant", "f", "i", "j", r("re", 3).alias("re"), r("im", 3).alias("im"))
+
+
+def mk_csd_all(spark, d):
+    return cross_periodograms(C.panel(spark, d)).select("participant", "f", "i", "j", r("re", 3).alias("re"), r("im", 3).alias("im"))
+
+
+def mk_psd_all(spark, d):
+    return spectrum(C.panel(spark, d)).select("participant", "node", "f", r("freq", 9).alias("freq"), r("p", 3).alias("p"))
+
+
+def wn_smooth_all(spark, d):
+    return smoothed(spectrum(C.panel(spark, d)), 1.5).select("participant", "node", "f", r("p", 3).alias("p"))
+
+
+def mk_avg_csd_all(spark, d):
+    """Average over participants and two runs of unequal length of the panel."""
+    p = C.panel(spark, d)
+    runs = [p.where("t < 45"), p.where("t >= 45").withColumn("t", F.col("t") - 45)]
+    return average_periodograms(runs).select("f", "i", "j", "n_items", r("re", 3).alias("re"), r("im", 3).alias("im"))
 
 
 def wn_smooth(spark, d):
@@ -381,7 +421,7 @@ def jn_confounds(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ag_fc, jn_pairwise, ag_lagcorr, ag_lagcorr_multi, jn_lag, ag_lagcov, ag_toeplitz, mk_psd, mk_csd, wn_smooth, sl_peakfreq, jn_windows, wn_fcd, wn_kuramoto, wn_ks, wn_detrend, wn_demean, wn_standardize, wn_lag,
+        ag_fc, jn_pairwise, ag_lagcorr, ag_lagcorr_multi, jn_lag, ag_lagcov, ag_toeplitz, mk_psd, mk_csd, mk_psd_all, mk_csd_all, wn_smooth_all, mk_avg_csd_all, wn_smooth, sl_peakfreq, jn_windows, wn_fcd, wn_kuramoto, wn_ks, wn_detrend, wn_demean, wn_standardize, wn_lag,
         wn_circshift, wn_halves, flt_band, jn_asof_freq, jn_bin_freq, ag_runs_mean, ag_group_mean, ag_group_ec, ag_parcel_mean, src_map_volume, src_map_surface, jn_voxel_label, jn_confounds,
     )
 } | {"mk_avg_spec": mk_avg_spec, "mk_avg_csd": mk_avg_csd}
