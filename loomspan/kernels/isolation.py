@@ -46,14 +46,6 @@ def row_median(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return np.where(n > 0, 0.5 * (np.where(n > 0, a, 0) + np.where(n > 0, b, 0)), 0.0)
 
 
-def row_quantile(x: np.ndarray, keep: np.ndarray, q: float) -> np.ndarray:
-    """The kept reading of each row below which a share q of them lies (-inf where there is none)."""
-    srt = np.sort(np.where(keep, x, np.inf), axis=1)
-    n = keep.sum(1)
-    at = np.clip((n * q).astype(int) - 1, 0, x.shape[1] - 1)
-    return np.where(n > 0, np.take_along_axis(srt, at[:, None], 1)[:, 0], -np.inf)
-
-
 def deviations(x: np.ndarray, n: np.ndarray, usable: np.ndarray, unit: float) -> np.ndarray:
     """Deviation of each reading from its nearby level in units of the source's usual scatter (median absolute deviation).
     Level and scatter come from the ``usable`` readings only; the others are held against the level next to them."""
@@ -65,28 +57,32 @@ def deviations(x: np.ndarray, n: np.ndarray, usable: np.ndarray, unit: float) ->
     return r / np.maximum(1.4826 * row_median(np.abs(r), usable), unit)[:, None]
 
 
-def excursions(z: np.ndarray, usable: np.ndarray, seed: float, member: float, seed_at_end: float, longest: int) -> np.ndarray:
-    """Readings of a stretch of at most ``longest`` usable ones on one side of the level, each ``member`` scatters away and
-    one of them ``seed`` (``seed_at_end`` for a stretch at an end of the source)."""
-    packed, m = pack_left(z, usable)
-    out = np.zeros(z.shape, bool)
+def unpack(packed: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Inverse of ``pack_left``; 0 (False) for readings that were not kept."""
+    at = np.clip(np.cumsum(keep, axis=1) - 1, 0, None)
+    return np.where(keep, np.take_along_axis(packed, at, 1), packed.dtype.type(0))
+
+
+def stretches(packed: np.ndarray, member: float, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and end (exclusive) of the stretches of at most ``longest`` readings on one side of the level, each
+    ``member`` scatters away; what stands behind a row's readings is 0."""
+    found = []
     for sign in (1, -1):
         inside = np.pad(sign * packed > member, ((0, 0), (1, 1)))
         row, start = np.nonzero(inside[:, 1:] & ~inside[:, :-1])
         _, end = np.nonzero(~inside[:, 1:] & inside[:, :-1])
         short = end - start <= longest
-        row, start, end = row[short], start[short], end[short]
-        for k in range(longest):
-            at = np.minimum(start + k, end - 1)
-            top = np.where(start + k < end, sign * packed[row, at], 0)
-            best = top if k == 0 else np.maximum(best, top)
-        far = best > np.where((start == 0) | (end == m[row]), seed_at_end, seed) if len(row) else np.zeros(0, bool)
-        row, start, end = row[far], start[far], end[far]
-        for k in range(longest):
-            ok = start + k < end
-            out[row[ok], start[ok] + k] = True
-    back = np.clip(np.cumsum(usable, axis=1) - 1, 0, None)
-    return np.take_along_axis(out, back, 1) & usable
+        found.append((row[short], start[short], end[short]))
+    row, start, end = (np.concatenate(c) for c in zip(*found))
+    return row, start, end
+
+
+def within(shape: tuple[int, int], row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mask of the readings of the stretches."""
+    edges = np.zeros((shape[0], shape[1] + 1), np.int32)
+    np.add.at(edges, (row, start), 1)
+    np.add.at(edges, (row, end), -1)
+    return np.cumsum(edges, axis=1)[:, :-1] > 0
 
 
 def run_lengths(x: np.ndarray, t: np.ndarray, n: np.ndarray, unit: float) -> np.ndarray:
@@ -139,49 +135,94 @@ def _c(m: np.ndarray) -> np.ndarray:
     return np.where(m > 1, 2 * (np.log(big - 1 + (big == 2) * 1e-12) + 0.5772156649) * (m > 2) + (m == 2) * 1.0 - 2 * (big - 1) / big * (m > 2), 0.0)
 
 
-def isolation_scores(features: np.ndarray, valid: np.ndarray, trees: int = 16, depth: int = 7, seed: int = 7) -> np.ndarray:
-    """Isolation-forest score in (0, 1) of every reading against its own source.
+def isolation_paths(features: np.ndarray, valid: np.ndarray, probe: np.ndarray, watched: np.ndarray | None = None, trees: int = 16, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Isolation forests, one for each source: mean path lengths of all readings (sources x readings), of the source's
+    probe (sources), and the mean path length to expect of as many readings (sources).
 
-    ``features``: k x sources x readings. Each source's features are scaled to their own range; a tree cuts the box of a
-    node at a random place of a random feature. All readings of the source fall through its trees (no subsample), so the
-    number of readings in a node is exact; a reading's path ends where it is alone."""
-    k, s, width = features.shape
-    inside = np.where(valid, features, np.nan)
-    with np.errstate(all="ignore"):
-        lo = np.nanmin(np.where(valid, features, np.inf), axis=2, keepdims=True, initial=np.inf)
-        hi = np.nanmax(np.where(valid, features, -np.inf), axis=2, keepdims=True, initial=-np.inf)
-        scaled = np.where(hi > lo, (inside - lo) / (hi - lo), 0.0)
+    ``features``: k x sources x readings; ``probe``: k x sources, a made-up reading that falls through the trees without
+    counting. Trees are grown on all readings of their source. A node is cut on a random feature at a random place between
+    its least and its greatest reading, down to single readings, equal ones, or ceil(log2(readings)) cuts. The nodes of
+    all sources grow together, a level at a time: readings stand sorted by node, and each node is split in place."""
+    s, width = valid.shape
+    k = len(features)
     row, col = np.nonzero(valid)
-    x = np.ascontiguousarray(scaled[:, row, col], dtype=np.float32).reshape(-1)
-    m, n_src = len(row), valid.sum(1)
-    offset = np.arange(m, dtype=np.int32)
+    n_src = valid.sum(1).astype(np.int32)
+    expected = _c(n_src)
+    paths = np.where(valid, expected[:, None], 0.0)
+    if watched is not None:  # the other sources' readings stay at what is to be expected
+        inside = (watched & valid).any(1)
+        row, col = row[inside[row]], col[inside[row]]
+    some = np.unique(row).astype(np.int32)
+    m = len(row)
+    x = np.ascontiguousarray(features[:, row, col], dtype=np.float32).reshape(-1)
+    watch = None if watched is None else watched[row, col]
+    probe = np.asarray(probe, np.float32)
+    limit = np.ceil(np.log2(np.maximum(n_src, 2))).astype(np.int32)
+    total, probe_total = np.zeros(m), np.zeros(s)
     rng = np.random.default_rng(seed)
-    total = np.zeros(m)
-    leaves = 1 << depth
-    for _ in range(trees):
-        feat = np.zeros(leaves, np.int32)
-        thr = np.zeros(leaves, np.float32)
-        box = {1: [(0.0, 1.0)] * k}
-        for node in range(1, leaves):
-            f = int(rng.integers(k))
-            a, b = box[node][f]
-            cut = a + (b - a) * rng.random()
-            feat[node], thr[node] = f * m, cut
-            left, right = list(box[node]), list(box[node])
-            left[f], right[f] = (a, cut), (cut, b)
-            box[2 * node], box[2 * node + 1] = left, right
-        node = np.ones(m, np.int32)
-        for _ in range(depth):
-            node = 2 * node + (x[feat[node] + offset] > thr[node])
-        mass = np.bincount(row * leaves + (node - leaves), minlength=s * leaves).reshape(s, leaves)
-        path = np.full((s, leaves), float(depth)) + _c(mass)
-        level = mass
-        for d in range(depth, -1, -1):
-            alone = np.repeat(level <= 1, leaves // level.shape[1], axis=1)
-            path = np.where(alone, float(d), path)
-            if d:
-                level = level.reshape(s, -1, 2).sum(2)
-        total += path[row, node - leaves]
-    scores = np.zeros((s, width))
-    scores[row, col] = np.exp2(-total / trees / np.maximum(_c(n_src), 1e-9)[row])
-    return scores
+    if m:  # a source's features that vary, first, and their number
+        first = (np.cumsum(n_src[some]) - n_src[some]).astype(np.int64)
+        varies = np.stack([np.maximum.reduceat(c, first) > np.minimum.reduceat(c, first) for c in x.reshape(k, m)], axis=1)
+        n_use = np.zeros(s, np.int32)
+        n_use[some] = np.maximum(varies.sum(1), 1)
+        use = np.zeros((s, k), np.int32)
+        use[some] = np.argsort(~varies, axis=1, kind="stable")
+    for _ in range(trees if m else 0):
+        order = np.arange(m, dtype=np.int32)
+        source, size = some, n_src[some]  # of each node
+        depth, tries = np.zeros(len(some), np.int32), np.zeros(len(some), np.int32)
+        at = np.full(s, -1, np.int32)  # node of the source's probe
+        at[some] = np.arange(len(some), dtype=np.int32)
+        while len(order):
+            nodes = np.arange(len(size), dtype=np.int32)
+            stop = np.cumsum(size, dtype=np.int32)
+            start = stop - size
+            seg = np.repeat(nodes, size)
+            f = use[source, (rng.random(len(size), dtype=np.float32) * n_use[source]).astype(np.int32)]
+            v = x[(f * m)[seg] + order]
+            lo, hi = np.minimum.reduceat(v, start), np.maximum.reduceat(v, start)
+            cut = lo + (hi - lo) * rng.random(len(size), dtype=np.float32)
+            cut = np.where(cut >= hi, lo, cut)  # both sides get a reading
+            right = v > cut[seg]
+            so_far = np.cumsum(right, dtype=np.int32)
+            base = so_far[start] - right[start]
+            n_right = so_far[stop - 1] - base
+            rank = so_far - right - base[seg]  # readings of the right side before this one, within the node
+            split = n_right > 0
+            to = np.arange(len(order), dtype=np.int32) - rank
+            np.copyto(to, (stop - n_right)[seg] + rank, where=right)
+            moved = np.empty_like(order)
+            moved[to] = order
+            # the nodes of the next level: both sides of those that were cut, the others (alike in this feature) as they are
+            kids = 1 + split
+            child = np.cumsum(kids, dtype=np.int32) - kids
+            node = np.repeat(nodes, kids)
+            new_size = (size - n_right)[node]
+            new_size[child[split] + 1] = n_right[split]
+            new_depth, new_source = (depth + split)[node], source[node]
+            tries = np.where(split, 0, tries + 1)[node]  # on features in which the node is alike
+            done = (new_size <= 1) | (new_depth >= limit[new_source]) | (tries >= 3 * k)
+            held = np.flatnonzero(at >= 0)
+            mine = at[held]
+            at[held] = child[mine] + (split[mine] & (probe[f[mine], held] > cut[mine]))
+            if watch is not None:
+                of_interest = np.logical_or.reduceat(watch[moved], np.cumsum(new_size) - new_size)
+                of_interest[at[held]] = True
+                done |= ~of_interest
+            order, size, depth, source = moved, new_size, new_depth, new_source
+            if done.any():
+                path = new_depth + _c(new_size)
+                ended = np.repeat(done, new_size)
+                total[moved[ended]] += np.repeat(path[done], new_size[done])
+                out = done[at[held]]
+                probe_total[held[out]] += path[at[held[out]]]
+                renumbered = np.cumsum(~done, dtype=np.int32) - 1
+                at[held] = np.where(out, -1, renumbered[at[held]])
+                order, size, depth, source, tries = moved[~ended], new_size[~done], new_depth[~done], new_source[~done], tries[~done]
+    paths[row, col] = total / max(trees, 1)
+    return paths, probe_total / max(trees, 1), expected
+
+
+def isolation_score(path: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Score in (0, 1) of mean path lengths; 0 where nothing is to be expected (a single reading)."""
+    return np.where(expected > 0, np.exp2(-path / np.maximum(expected, 1e-9)), 0.0)

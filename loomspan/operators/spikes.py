@@ -1,16 +1,19 @@
 """Implausible spikes in measurements (problem 2).
 
 The readings of a source are packed into arrays (a pre-aggregated shuffle by source), and a batch of sources at a time is
-scored by isolation forests, one per source, on level, difference, seasonal and run-length features. A reading that the
-forest ranks in the upper half of its source and that lies in a short excursion far outside the usual scatter is an
-excursion; stuck values come from the run-length feature; readings beyond physical limits are found by explicit rules.
+scored by isolation forests, one grown for each source and field on its own readings: level, difference, seasonal and
+run-length features. A spike is a reading that the forest isolates sooner than the source's probe, a made-up reading
+PROBE scatters off that falls through the same trees, so the threshold is learned from each source. An exact check
+follows: a spike stands in a stretch of at most LONGEST readings on one side, each MEMBER scatters from the level, and
+the stretch is flagged as a whole. Stuck values come from the run-length feature, readings beyond physical limits from
+explicit rules.
 
 A source is cut into blocks of BLOCK volumes with a rim of RIM volumes on either side, so that one source, however long,
 is no single task; a block has its own forest.
 
 Defined results: nulls and NaN are no readings and end a run; infinite readings are impossible; repeated rows count once;
 of different values delivered for one volume the least is taken into the forest, while the limits are held against each;
-a source of one reading scores 0; an empty table gives no rows.
+an impossible reading scores 1 and stays out of the forest; a source of one reading scores 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ from loomspan.session import table
 BLOCK, RIM = 512, 32
 STUCK = 6  # volumes that keep a value
 LONGEST = 3  # volumes of an excursion
-SEED, MEMBER = 8.5, 6.0  # scatters of an excursion's farthest and of its other readings
-SEED_AT_END = 14.0  # where the level cannot be seen to return
-RANK = 0.5  # share of its source's readings that a spike's score exceeds
+MEMBER = 6.0  # scatters of each reading of an excursion
+PROBE = (7.7, 7.0, 6.0)  # level, difference and seasonal residual of the probe, in scatters
+AT_END = 0.6  # what a deviation counts at an end of the source, where the level cannot be seen to return
+TREES = 48
 SOURCES_AT_ONCE = 1024
 
 
@@ -63,21 +67,36 @@ CONFOUNDS = (Field("trans_x", 1e-5, within=50.0), Field("global_signal", 1e-3, a
 PANEL = tuple(Field(f"x[{k}]", 1e-2, above=0.0) for k in range(4))
 
 
-def judge(x: np.ndarray, t: np.ndarray, n: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores, excursions and stuck readings of padded sources."""
+def features(z: np.ndarray, usable: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level, difference, seasonal and run-length features; the readings of short stretches far from the level, and those
+    stretches (row, first, end in the usable readings)."""
+    packed, m = K.pack_left(z, usable)
+    found = K.stretches(packed, MEMBER, LONGEST)
+    gap = np.where(np.arange(1, z.shape[1])[None, :] < m[:, None], np.abs(np.diff(packed, axis=1)), 0.0)
+    step = np.maximum(np.pad(gap, ((0, 0), (1, 0))), np.pad(gap, ((0, 0), (0, 1))))
+    at_end = (found[1] == 0) | (found[2] == m[found[0]])
+    less = np.where(K.within(z.shape, *(c[at_end] for c in found)), AT_END, 1.0)
+    three = [K.unpack(less * f, usable) for f in (np.abs(packed), step, K.seasonal_residual(packed, m))]
+    return np.stack([np.where(usable, three[0], np.abs(z)), three[1], three[2], np.log(run)]), K.unpack(K.within(z.shape, *found), usable), found
+
+
+def judge(x: np.ndarray, t: np.ndarray, n: np.ndarray, field: Field, everything: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores, excursions and stuck readings of padded sources. Unless ``everything`` is asked for, nodes without a reading
+    of a short stretch or the probe are not grown on, as their readings cannot be spikes."""
     valid = np.arange(x.shape[1])[None, :] < n[:, None]
     run = K.run_lengths(x, t, n, field.unit)
     stuck = valid & (run >= STUCK)
     bad = valid & field.impossible(x)
     usable = valid & ~bad & ~stuck
     z = K.deviations(np.where(np.isfinite(x), x, 0.0), n, usable, field.unit)
-    step = np.zeros_like(z)
-    step[:, 1:] = np.abs(np.diff(z, axis=1))
-    features = np.stack([np.log1p(np.abs(z)), np.log1p(step), np.log1p(K.seasonal_residual(z, n)), np.log(run)])
-    scores = K.isolation_scores(features, valid)
-    rank = scores > K.row_quantile(scores, usable, RANK)[:, None]
-    spikes = K.excursions(z, usable, SEED, MEMBER, SEED_AT_END, LONGEST) & rank
-    return scores, spikes, stuck
+    f, candidate, (row, start, end) = features(z, usable, run)
+    probe = np.repeat(np.array([*PROBE, 0.0])[:, None], len(n), axis=1)
+    path, threshold, expected = K.isolation_paths(f, valid & ~bad, probe, None if everything else candidate, TREES)
+    sooner, _ = K.pack_left(path < threshold[:, None], usable)
+    before = np.pad(np.cumsum(sooner, axis=1), ((0, 0), (1, 0)))
+    spike = before[row, end] > before[row, start]
+    spikes = K.unpack(K.within(z.shape, row[spike], start[spike], end[spike]), usable)
+    return np.where(bad, 1.0, K.isolation_score(path, expected[:, None])), spikes, stuck
 
 
 def _padded(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +128,7 @@ def scored(packed: DataFrame, fields: tuple[Field, ...], everything: bool) -> Da
                 block = np.asarray(batch.column("block"))
                 for k, f in enumerate(fields):
                     x, t, n = _padded(batch, f"v{k}")
-                    score, spike, stuck = judge(x, t, n, f)
+                    score, spike, stuck = judge(x, t, n, f, everything)
                     own = (np.arange(x.shape[1])[None, :] < n[:, None]) & (np.floor_divide(t, BLOCK) == block[:, None])
                     i, j = np.nonzero(own if everything else own & (spike | stuck))
                     yield pa.RecordBatch.from_arrays(

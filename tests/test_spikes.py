@@ -65,10 +65,55 @@ def test_every_reading_is_scored(spark):
 
 def test_scores_rank_an_outlier_first():
     x = np.concatenate([series(99, 1), [160.0]])[None, :]
-    n = np.array([100])
-    z = K.deviations(x, n, np.ones((1, 100), bool), 1e-5)
-    s = K.isolation_scores(np.stack([np.log1p(np.abs(z)), np.log1p(np.abs(np.diff(z, prepend=z[:, :1])))]), np.ones((1, 100), bool))
-    assert s[0].argmax() == 99
+    n, every = np.array([100]), np.ones((1, 100), bool)
+    z = K.deviations(x, n, every, 1e-5)
+    f = np.stack([np.abs(z), np.abs(np.diff(z, prepend=z[:, :1]))])
+    path, probe, expected = K.isolation_paths(f, every, np.array([[8.0], [8.0]]))
+    assert path[0].argmin() == 99 and path[0, 99] < probe[0] < np.median(path[0]) and 0 < expected[0]
+
+
+def test_trees_are_each_source_s_own():
+    """A reading is isolated against its own source: the same reading stands out in a quiet source only."""
+    quiet, wide = np.append(np.linspace(0, 1, 63), 6.0), np.append(np.linspace(0, 8, 63), 6.0)
+    path, probe, _ = K.isolation_paths(np.stack([quiet, wide])[None], np.ones((2, 64), bool), np.full((1, 2), 5.0))
+    assert path[0, -1] < probe[0] and path[1, -1] > path[0, -1] + 2
+
+
+def test_nodes_that_end_early_change_no_reading_of_interest():
+    rng = np.random.default_rng(5)
+    f = np.abs(rng.standard_normal((3, 50, 90)))
+    f[:, :, 7] += 9
+    watch = np.zeros((50, 90), bool)
+    watch[:25, 7] = True
+    every = np.ones((50, 90), bool)
+    probe = np.full((3, 50), 6.0)
+    path, p, e = K.isolation_paths(f, every, probe, watch, trees=48)
+    whole, q, _ = K.isolation_paths(f, every, probe, None, trees=48)
+    assert (path[25:] == e[25:, None]).all() and np.abs(path[:25, 7] - whole[:25, 7]).max() < 1 and np.abs(p[:25] - q[:25]).max() < 2
+    assert (path[:25, 7] < p[:25]).all() and (whole[:, 7] < q).all()
+
+
+def test_the_forest_decides(monkeypatch):
+    """Planted peaks of 9 to 25 scatters among noise with long tails: found and true with the forest, and without it."""
+    rng = np.random.default_rng(11)
+    x = 500 + rng.standard_t(6, (400, 110)).round(2)
+    truth = np.zeros(x.shape, bool)
+    for i in range(400):
+        for at in rng.choice(np.arange(10, 100, 9), 2, replace=False):
+            truth[i, at] = True
+            x[i, at] = 500 + rng.choice([-1, 1]) * rng.uniform(12, 35)
+    t, n, field = np.tile(np.arange(110), (400, 1)), np.full(400, 110), S.Field("x", 1e-2)
+
+    def figures():
+        got = S.judge(x, t, n, field, False)[1]
+        return (got & truth).sum() / truth.sum(), (got & truth).sum() / got.sum()
+
+    found, true = figures()
+    real = K.isolation_paths
+    monkeypatch.setattr(K, "isolation_paths", lambda f, v, p, w, k: (lambda r: (np.zeros_like(r[0]), r[1], r[2]))(real(f, v, p, w, k)))
+    found_off, true_off = figures()
+    print(found, true, found_off, true_off)
+    assert found > 0.97 and true > 0.95 and true_off < true - 0.05 and found_off >= found
 
 
 def test_run_lengths_within_one_unit():
@@ -100,11 +145,12 @@ def test_deviations_against_loops():
             assert abs(z[i, j] - (r[j] - level[at]) / scatter) < 1e-6
 
 
-def test_excursions_against_loops():
+def test_stretches_against_loops():
     rng = np.random.default_rng(10)
     z = rng.standard_normal((40, 60)) * 5
     keep = rng.random(z.shape) < 0.9
-    got = K.excursions(z, keep, 8.0, 6.0, 12.0, 3)
+    packed, _ = K.pack_left(z, keep)
+    got = K.unpack(K.within(z.shape, *K.stretches(packed, 6.0, 3)), keep)
     want = np.zeros(z.shape, bool)
     for i in range(len(z)):
         at = np.flatnonzero(keep[i])
@@ -114,8 +160,8 @@ def test_excursions_against_loops():
                 if k < len(at) and sign * z[i, at[k]] > 6:
                     run.append(k)
                 elif run:
-                    end = run[0] == 0 or run[-1] == len(at) - 1
-                    if len(run) <= 3 and max(sign * z[i, at[j]] for j in run) > (12 if end else 8):
+                    if len(run) <= 3:
                         want[i, at[run]] = True
                     run = []
     assert (got == want).all() and want.any()
+    assert (K.unpack(packed, keep) == np.where(keep, z, 0)).all()
