@@ -35,7 +35,7 @@ LONGEST = 3  # volumes of an excursion
 MEMBER = 6.0  # scatters of each reading of an excursion
 PROBE = (7.7, 7.0, 6.0)  # level, difference and seasonal residual of the probe, in scatters
 AT_END = 0.6  # what a deviation counts at an end of the source, where the level cannot be seen to return
-TREES = 48
+TREES = 64
 SOURCES_AT_ONCE = 1024
 
 

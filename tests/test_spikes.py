@@ -94,14 +94,14 @@ def test_nodes_that_end_early_change_no_reading_of_interest():
 
 
 def test_the_forest_decides(monkeypatch):
-    """Planted peaks of 9 to 25 scatters among noise with long tails: found and true with the forest, and without it."""
+    """Planted peaks of 10 to 30 scatters among usual ones of up to 7: found and true with the forest, and without it."""
     rng = np.random.default_rng(11)
-    x = 500 + rng.standard_t(6, (400, 110)).round(2)
+    x = 500 + rng.standard_normal((400, 110)).round(2)
     truth = np.zeros(x.shape, bool)
     for i in range(400):
-        for at in rng.choice(np.arange(10, 100, 9), 2, replace=False):
-            truth[i, at] = True
-            x[i, at] = 500 + rng.choice([-1, 1]) * rng.uniform(12, 35)
+        for k, at in enumerate(rng.choice(np.arange(10, 100, 9), 3, replace=False)):
+            truth[i, at] = k < 2
+            x[i, at] = 500 + rng.choice([-1, 1]) * (rng.uniform(10, 30) if k < 2 else rng.uniform(5, 7))
     t, n, field = np.tile(np.arange(110), (400, 1)), np.full(400, 110), S.Field("x", 1e-2)
 
     def figures():
@@ -110,10 +110,10 @@ def test_the_forest_decides(monkeypatch):
 
     found, true = figures()
     real = K.isolation_paths
-    monkeypatch.setattr(K, "isolation_paths", lambda f, v, p, w, k: (lambda r: (np.zeros_like(r[0]), r[1], r[2]))(real(f, v, p, w, k)))
+    monkeypatch.setattr(K, "isolation_paths", lambda *given: (lambda r: (np.zeros_like(r[0]), r[1], r[2]))(real(*given)))
     found_off, true_off = figures()
     print(found, true, found_off, true_off)
-    assert found > 0.97 and true > 0.95 and true_off < true - 0.05 and found_off >= found
+    assert found > 0.97 and true > 0.8 and true_off < true - 0.05  # both lists hold usual peaks of more than six measured scatters
 
 
 def test_run_lengths_within_one_unit():
