@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+
 from loomspan.llm import mixing as X
 
 
@@ -24,10 +26,45 @@ def test_shares_and_repeats(spark):
     assert abs(sum(r.share for r in s.values()) - 1) < 1e-9
 
 
+def dual_by_search(rows, goal, most, u):
+    """Multipliers of one source by plain descent on the dual, in NumPy."""
+    n, tok = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], float)
+    lam, mu = np.log(goal / (n * tok).sum()), 0.0
+    for _ in range(200_000):
+        r = np.minimum(most, np.exp(lam + mu * u))
+        g0, g1 = (n * tok * r).sum() / goal - 1, (n * tok * r * u).sum() / goal + X.RIDGE * mu
+        lam, mu = lam - 0.1 * g0, mu - 0.1 * g1
+        if abs(g0) + abs(g1) < 1e-12:
+            break
+    return lam, mu
+
+
 def test_newton_meets_the_constraints(spark):
-    h = spark.createDataFrame([("a", 10, 5), ("a", 3, 7), ("b", 100, 2)], "source string, n_tokens long, n long")
-    lam = X.tilts(h, {"a": 0.5, "b": 0.5}, 60.0)
-    assert math.isclose(math.exp(lam["a"]) * 71, 30, rel_tol=1e-8) and math.isclose(math.exp(lam["b"]) * 200, 30, rel_tol=1e-8)
+    rows = {"a": [(10, 50), (3, 70), (400, 4)], "b": [(100, 20), (7, 90), (900, 2)], "c": [(5, 10)]}
+    h = spark.createDataFrame([(s, t, n) for s, r in rows.items() for t, n in r], "source string, n_tokens long, n long")
+    t = targets(spark, [("a", 0.5, 1), ("b", 0.4, 3), ("c", 0.1, 40)])
+    found, total = X.sources_of(h, t, 4500.0)
+    length = X.lengths_of(h)
+    X.balance(h, found, length)
+    assert total == 4500
+    for s, r in rows.items():
+        x = found[s]
+        u = (np.log([k for k, _ in r]) - length[0]) / length[1]
+        rate = np.minimum(x.most, np.exp(x.lam + x.mu * u))
+        assert math.isclose(sum(k * n * q for (k, n), q in zip(r, rate)), x.goal, rel_tol=1e-8)
+        if not x.full:
+            assert np.allclose((x.lam, x.mu), dual_by_search(r, x.goal, x.most, u), atol=1e-5)
+    assert found["a"].steps > 1 and max(np.ptp(np.exp(found[s].mu * np.log([1, 100]))) for s in "ab") > 0.05  # a tilt over documents
+    a = np.exp(found["a"].lam + found["a"].mu * (np.log([10, 3, 400]) - length[0]) / length[1])
+    assert (a > 1).any()  # a limit of repeats binds
+
+
+def test_a_named_total_reports_the_gap(spark):
+    rows = [(n, "big", "word " * (3 + n % 17)) for n in range(300)] + [(1000, "tiny", "one two three four")]
+    t = targets(spark, [("big", 0.5, 2), ("tiny", 0.5, 3)])
+    s = {r.source: r for r in X.shares(X.mix(docs(spark, rows), t, 3000.0), t, 3000.0).collect()}
+    assert s["tiny"].n_copies == 3 and s["tiny"].gap == 1500 - 3 * s["tiny"].n_tokens
+    assert abs(s["big"].gap) < 25 and s["big"].most_copies <= 2 and s["big"].rated_tokens > 1499
 
 
 def test_equal_documents_are_split_into_groups(spark, monkeypatch):
