@@ -12,6 +12,7 @@ from loomspan.kernels.optimise import bounded_bfgs
 
 UNSTABLE = 10.0  # times the first loss: value of a point without stationary covariance
 A_BOUNDS, OMEGA_LEAST = (-2.0, -1e-3), 1e-4
+SHORTEST_STEP, LONGEST_STEP = 1e-4, 0.25  # of a surrogate fit, shares of the greatest weight
 
 
 @dataclass
@@ -170,10 +171,10 @@ def periodograms(x: np.ndarray, tr: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def in_band(freqs: np.ndarray, band, shrink: float = 0.1) -> np.ndarray:
-    lo, hi = band
-    lo, hi = (lo or 0.0), (freqs[-1] if hi is None else hi)
-    k = shrink * (hi - lo)
-    return np.flatnonzero((freqs >= lo + k) & (freqs <= hi - k) & (freqs > 0))
+    """Frequencies above 0 within the middle of the band, ``shrink`` of its width left out on either side."""
+    edges = np.array([band[0] or 0.0, freqs[-1] if band[1] is None else band[1]])
+    off_middle = np.abs(freqs - edges.mean())
+    return np.flatnonzero((off_middle <= (0.5 - shrink) * np.ptp(edges) * (1 + 1e-12)) & (freqs > 0))
 
 
 def fit_whittle(runs: list[np.ndarray], tr: float, c0: np.ndarray, mask: np.ndarray, omega: np.ndarray, band, a=-0.02, fit_a: str = "none", fit_omega: bool = True, fit_noise: str = "global", fit_observed: str = "global", shrink: float = 0.0, prior: np.ndarray | None = None, aliases: int = 1, lag: int = 1, max_iter: int = 500) -> Fit:
@@ -271,36 +272,38 @@ def fit_iterated(fc: np.ndarray, cov: np.ndarray, c0: np.ndarray, model: Callabl
 
 
 def fit_surrogate(fc: np.ndarray, cov: np.ndarray, c0: np.ndarray, model: Callable, mask: np.ndarray, g: float, a, omega: np.ndarray, tr: float, lag: int = 1, beta: float = 0.02, band=None, max_iter: int = 200, patience: int = 15, step: float = 0.05, top: float | None = 0.2, rel: float = 1e-4) -> Fit:
-    """Residuals of the non-linear model sent through the linear model's adjoint; steps that lower the error grow by 1.3
-    (at most 0.25), others are halved (at least 1e-4); it ends when no new best comes, the step is used up, or the
-    error has settled."""
-    n, h2 = len(c0), filters.autocorrelation(tr, band, tol=1e-6)
+    """Residuals of the non-linear model sent through the linear model's adjoint: a descent by line searches.
+
+    Along the negative gradient a step (a share of the greatest weight) is halved until the model's error falls, then the
+    next search starts from 1.3 times the step that did, at most LONGEST_STEP. At most ``max_iter`` models are run; the
+    fit has converged when no step above SHORTEST_STEP helps or ``patience`` models lowered the error by less than ``rel``."""
+    h2 = filters.autocorrelation(tr, band, tol=1e-6)
     c = project(c0, mask, top)
-    m_fc, m_cov = model(c)
-    e = fit_error(fc, m_fc, cov, m_cov)
-    first, err = e["fit_rmse"], e["fit_rmse"]
-    best, trace, history, stall, rejected, it, converged = (err, c, m_fc, m_cov, 0), [err], [{"iter": 0, **e}], 0, 0, 0, False
-    while it < max_iter:
-        m = hopf.moments(hopf.jacobian(g * c, 1.0, a, omega), beta, tr, [0, lag], h2)
-        _, grads, _, _ = hopf.moment_loss(m, n, fc, [cov], residuals=(m_fc - fc, [m_cov - cov]))
-        gc = np.where(mask, g * hopf.parameter_gradients(m.gradient(grads), n)[0], 0.0)
-        steepest = np.abs(gc).max()
-        if not np.isfinite(steepest) or steepest == 0:
-            break
-        new = project(c - step * max(c.max(), 1e-9) / steepest * gc, mask, top)
-        n_fc, n_cov = model(new)
-        e = fit_error(fc, n_fc, cov, n_cov)
-        it += 1
-        if np.isfinite(e["fit_rmse"]) and e["fit_rmse"] < err:
-            c, m_fc, m_cov, err, step = new, n_fc, n_cov, e["fit_rmse"], min(1.3 * step, 0.25)
-            stall = 0 if err < best[0] - 1e-12 else stall + 1
-            best = (err, c, m_fc, m_cov, it) if stall == 0 else best
-        else:
-            rejected, step, stall = rejected + 1, step / 2, stall + 1
-        history.append({"iter": it, "error": err, "step": step})
-        trace.append(err)
-        if step < 1e-4 or stall >= patience or (it >= patience and trace[-1 - patience] - err < rel * err):
-            converged = True
+    fc_now, cov_now = model(c)
+    error = fit_error(fc, fc_now, cov, cov_now)
+    first = error["fit_rmse"]
+    history, reached = [{"iter": 0, **error, "step": step}], [first]  # error after each model run
+    best_at, converged = 0, False
+    while len(reached) <= max_iter and not converged:
+        linear = hopf.moments(hopf.jacobian(g * c, 1.0, a, omega), beta, tr, [0, lag], h2)
+        _, grads, _, _ = hopf.moment_loss(linear, len(c), fc, [cov], residuals=(fc_now - fc, [cov_now - cov]))
+        down = np.where(mask, -g * hopf.parameter_gradients(linear.gradient(grads), len(c))[0], 0.0)
+        size = np.abs(down).max()
+        if not np.isfinite(size) or size == 0:
             break
-    err, c, m_fc, m_cov, at = best
-    return Fit(c, np.zeros(0), np.zeros(0), err, it, converged, m_fc, m_cov, fit_error(fc, m_fc, cov, m_cov) | {"initial_fit_rmse": first, "n_rejected": rejected, "best_iter": at}, history)
+        down *= max(c.max(), 1e-9) / size
+        lower = False
+        while not lower and not converged and len(reached) <= max_iter:
+            trial = project(c + step * down, mask, top)
+            fc_trial, cov_trial = model(trial)
+            error = fit_error(fc, fc_trial, cov, cov_trial)
+            lower = np.isfinite(error["fit_rmse"]) and error["fit_rmse"] < reached[-1]
+            if lower:
+                c, fc_now, cov_now, best_at, step = trial, fc_trial, cov_trial, len(reached), min(1.3 * step, LONGEST_STEP)
+            else:
+                step /= 2
+            reached.append(error["fit_rmse"] if lower else reached[-1])
+            history.append({"iter": len(reached) - 1, "error": reached[-1], "step": step})
+            converged = step < SHORTEST_STEP or (len(reached) > patience and reached[-1 - patience] - reached[-1] < rel * reached[-1])
+    metrics = fit_error(fc, fc_now, cov, cov_now) | {"initial_fit_rmse": first, "n_rejected": int(np.count_nonzero(np.diff(reached) == 0)), "best_iter": best_at}
+    return Fit(c, np.zeros(0), np.zeros(0), reached[-1], len(reached) - 1, converged, fc_now, cov_now, metrics, history)

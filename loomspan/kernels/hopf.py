@@ -150,38 +150,41 @@ def parameter_gradients(ga: np.ndarray, n: int, g: float = 1.0) -> tuple[np.ndar
 
 
 def simulate(c: np.ndarray, g: float, a, omega: np.ndarray, tr: float, n_vol: int, seeds: list[int], dt: float = 0.1, beta: float = 0.02, transient: float = 100.0, linear: bool = False, start=None) -> np.ndarray:
-    """Euler-Maruyama runs of several seeds at once, x every TR: seeds x volumes x nodes.
-
-    The step is refined until it is short against the rates and a TR is whole steps; each seed has its own stream of
-    draws (initial x, initial y, then noise by steps). A state that is not finite raises FloatingPointError."""
-    w = g * np.asarray(c, float)
-    w = w - np.diag(np.diag(w))
-    n, s = len(w), w.sum(1)
-    a, omega = np.broadcast_to(np.asarray(a, float), (n,)), np.asarray(omega, float)
-    rate = float(np.max(np.abs(a) + s + np.abs(omega)))
-    per_tr = max(1, int(np.ceil(tr / (dt if rate <= 0 else min(dt, 0.25 / rate)) - 1e-9)))
-    h = tr / per_tr
-    skip = int(round(transient / h))
-    rngs = [np.random.default_rng(x) for x in seeds]
+    """Euler-Maruyama runs of several seeds at once, x at the end of every TR: seeds x volumes x nodes.
+
+    A TR is whole steps of at most ``dt``, halved until a step is short against the fastest row of the Jacobian; the
+    transient is whole TRs. Each seed has its own stream of draws (initial x, initial y, then the noise of each TR). A
+    state that is not finite raises FloatingPointError."""
+    n, jac = len(c), hopf_rows(c, g, a, omega)
+    inward = jac["own"]
+    steps = int(np.ceil(round(tr / dt, 9)))
+    while tr / steps * jac["fastest"] > 0.25:
+        steps *= 2
+    h, warm = tr / steps, int(np.ceil(round(transient / tr, 9)))
+    streams = [np.random.default_rng(seed) for seed in seeds]
     if start is None:
-        draws = [(0.1 * q.standard_normal(n), 0.1 * q.standard_normal(n)) for q in rngs]
-        x, y = np.stack([d[0] for d in draws]), np.stack([d[1] for d in draws])
+        z = 0.1 * np.stack([q.standard_normal((2, n)) for q in streams], axis=1)
     else:
-        x, y = np.tile(np.asarray(start[0], float), (len(seeds), 1)), np.tile(np.asarray(start[1], float), (len(seeds), 1))
+        z = np.repeat(np.asarray(start, float)[:, None, :], len(seeds), axis=1)
+    x, y = z
+    into, spin, kick = jac["coupling"].T, np.asarray(omega, float), beta * h**0.5
     out = np.empty((len(seeds), n_vol, n))
-    scale, total, vol, coupling = np.sqrt(h) * beta, skip + n_vol * per_tr, 0, w.T
     with np.errstate(all="ignore"):
-        for at in range(0, total, 2000):
-            noise = scale * np.stack([q.standard_normal((min(2000, total - at), 2 * n)) for q in rngs], axis=1)
-            for k in range(len(noise)):
-                pull = a - s if linear else a - s - x * x - y * y
-                dx = pull * x - omega * y + x @ coupling
-                dy = pull * y + omega * x + y @ coupling
-                x = x + h * dx + noise[k, :, :n]
-                y = y + h * dy + noise[k, :, n:]
-                if at + k >= skip and (at + k - skip) % per_tr == per_tr - 1:
-                    out[:, vol] = x
-                    vol += 1
+        for volume in range(-warm, n_vol):
+            noise = kick * np.stack([q.standard_normal((steps, 2, n)) for q in streams], axis=2)
+            for to_x, to_y in noise:
+                hold = inward if linear else inward - x * x - y * y
+                x, y = x + h * (hold * x - spin * y + x @ into) + to_x, y + h * (hold * y + spin * x + y @ into) + to_y
             if not np.isfinite(x).all():
                 raise FloatingPointError("the simulation diverged; reduce dt or G")
+            if volume >= 0:
+                out[:, volume] = x
     return out
+
+
+def hopf_rows(c: np.ndarray, g: float, a, omega: np.ndarray) -> dict:
+    """Coupling without the diagonal, each node's own rate a - sum C, and a bound of the fastest rate (Gershgorin)."""
+    jac = jacobian(c, g, a, omega)
+    n = len(c)
+    own = np.diag(jac)[:n].copy()
+    return {"coupling": jac[:n, :n] - np.diag(own), "own": own, "fastest": float(np.abs(jac).sum(1).max())}

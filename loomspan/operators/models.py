@@ -22,6 +22,7 @@ from loomspan.session import cut, table
 RUN = 512  # volumes of a run; a longer series is cut into runs
 SHORT, LEAST = 20, 40  # volumes that a run needs, and that it needs for a simulation
 STRETCH = 16 * RUN  # ids that are numbered in one task
+SWARM, SWARM_ROUNDS = 20, 30  # particles and rounds of mk_pso
 TR, BAND, BETA = 2.0, (0.02, 0.2), 0.02
 
 
@@ -170,7 +171,7 @@ mk_lyapunov = _model(lambda p, x: _grid(hopf.stationary(_jac(p), p.beta)), "i in
 mk_moments = _model(lambda p, x: [(i, j, v, w) for (i, j, v), (_, _, w) in zip(*map(_grid, hopf.analytic(p.sc, 1.0, -0.02, p.omega, TR, 1, p.beta, BAND)))], "i int, j int, fc double, cov double")
 mk_psd_model = _model(lambda p, x: [(float(f), n, float(v)) for f, row in zip(np.arange(1, 20) * 0.01, hopf.power(p.sc, 1.0, -0.02, p.omega, np.arange(1, 20) * 0.01, p.beta)) for n, v in enumerate(row)], "freq double, node int, p double")
 mk_stability = _model(lambda p, x: [(m := hopf.max_real(_jac(p)), m < 0)], "max_real double, stable boolean")
-mk_validity = _model(lambda p, x: [(a, *P.validity(p, 1.0, a)) for a in (-0.1, -0.02, 0.01)], "a double, valid boolean, reason string")
+mk_validity = _model(lambda p, x: [(a, not (why := P.flaw(p, 1.0, a)), why) for a in (-0.1, -0.02, 0.01)], "a double, valid boolean, reason string")
 
 
 def _recursion(p: P.Problem, lags: list[int]) -> hopf.Moments:
@@ -397,9 +398,10 @@ def mk_run_search(spark, d):
 
 
 def mk_pso(spark, d):
+    """A swarm over G and a: each round's particles are Spark rows."""
     p = _group(spark, d)
-    r = optimise.swarm(lambda xs: [P.evaluate_point(p, float(g), float(a))["fit_rmse"] for g, a in xs], np.array([0.1, -0.5]), np.array([3.0, -0.01]), particles=8, n_iter=5, seed=1)
-    return spark.createDataFrame([(float(r.x[0]), float(r.x[1]), r.fun, r.n_fev)], "G double, a double, fit_rmse double, n_fev int")
+    (at, value, _) = P.continuous(spark, p, P.Options(continuous="pso", G_range=(0.1, 3.0), a_range=(-0.5, -0.01), budget=SWARM * SWARM_ROUNDS), 1.0, -0.05, True)
+    return spark.createDataFrame([(at["G"], at["a"], float(value), SWARM * (SWARM_ROUNDS + 1))], "G double, a double, fit_rmse double, n_fev int")
 
 
 def sl_best_init(spark, d):
