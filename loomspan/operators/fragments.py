@@ -2,9 +2,11 @@
 
 Each fragment gets a footer (series, columns, first and last volume, number of volumes, a bitmap of its volumes in blocks
 of 64). Fragments that share no volume with another are compatible blocks: their encoded lines are copied as they stand.
-Only fragments that overlap (found on the footers, never on the values) are taken apart, so that each volume comes out
-once. The totals are validated against the footers. The merged blocks of all series are then packed one after another
-into files of the target size, each with a footer that says where the volumes of a series and sidecar stand.
+Only fragments that overlap (found on the footers, never on the values) lose the volumes that another one gives, so that
+each volume comes out once. Overlaps are found without pairs: a block of 64 volumes is contested if its fragments have
+more volumes than their union. Places in the files are computed from the footers too; the bodies move once to meet them
+and once into their files. The totals are validated against the footers. The merged blocks of all series are packed one
+after another into files of the target size, each with a footer that says where the volumes of a series and sidecar stand.
 
 Text lines stand in for the column chunks of a columnar file here, because the fragments are rows with a text body;
 :mod:`loomspan.sources.parquet_blocks` does the same on real Parquet files, copying row groups byte by byte.
@@ -72,55 +74,81 @@ def overlapping(foot: DataFrame) -> DataFrame:
     return hit.select("frag_lo", "frag_hi").distinct()
 
 
-def _once(fragments: DataFrame) -> DataFrame:
-    """One row per frag_id (repeated deliveries have the same content)."""
-    return fragments.select("frag_id", "path", "sidecar", "modified_at", "body").dropDuplicates(["frag_id"])
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping(footers(table(spark, sf_dir, "ts_fragments")).dropDuplicates(["frag_id"]))
 
 
+def volumes_of(body: Column) -> Column:
+    """Lines of a body by volume, one of each (of several the least)."""
+    rows = F.array_sort(lines_of(body))
+    return F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["t"] != r["t"]))
+
+
+def lost_volumes(foot: DataFrame) -> DataFrame:
+    """frag_id, block, lost for the fragments that share a volume: those of its volumes (64-bit maps) that come from another
+    one, which was modified later (ties: the least frag_id). Contested blocks show in sums and unions that fold before the shuffle, the winner of a
+    volume in a minimum, so no deliveries of a series are paired or gathered."""
+    b = volume_blocks(foot)
+    contested = b.groupBy("series", "block").agg(F.sum(F.bit_count("bits")).alias("n"), F.bit_count(F.bit_or("bits")).alias("d")).where("n > d").select("series", "block")
+    rank = F.struct(F.col("modified_at").isNull().alias("none"), (-F.unix_micros(F.col("modified_at").cast("timestamp"))).alias("age"), F.col("frag_id"))
+    order = foot.select("frag_id", rank.alias("rank"))
+    claims = b.join(contested, ["series", "block"], "left_semi").join(order, "frag_id")
+    claims = claims.select("series", "block", "frag_id", "rank", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)).alias("k"))
+    best = claims.groupBy("series", "block", "k").agg(F.min("rank").alias("best"), F.count("*").alias("n")).where("n > 1")
+    held = claims.join(best, ["series", "block", "k"]).withColumn("bit", F.when(F.col("frag_id") == F.col("best.frag_id"), F.lit(0)).otherwise(F.expr("shiftleft(1L, k)")))
+    return held.groupBy("frag_id", "block").agg(F.bit_or("bit").alias("lost"))
+
+
 def consolidate(fragments: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Pieces of the merged files: file, series, sidecar, start (bytes before it in all files), first_t, last_t, n_volumes,
     n_blocks, n_copied, n_bytes, body (lines by volume).
 
-    Blocks of fragments without overlap are copied as lines stand; the others give only the lines that no later
-    delivery replaces. All blocks stand in one order (series by hash, sidecar, volume), which is cut into files every
-    ``target_bytes``: small series share a file, a large one goes over several."""
-    once = cut(_once(fragments))
-    foot = footers(once)
-    met = cut(overlapping(foot))
-    touched = met.select(F.col("frag_lo").alias("frag_id")).union(met.select("frag_hi")).distinct()
-    base = once.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", "modified_at", lines_of(F.col("body")).alias("rows")).where(F.col("series").isNotNull() & (F.size("rows") > 0))
-    base = base.withColumn("sorted", F.transform("rows", lambda r: r["t"]) == F.array_sort(F.array_distinct(F.transform("rows", lambda r: r["t"]))))
-    marked = base.join(touched.withColumn("touched", F.lit(True)), "frag_id", "left").withColumn("copy", F.col("touched").isNull() & F.col("sorted"))
-    copied = marked.where("copy").select("series", "sidecar", "frag_id", F.col("rows")[0]["t"].alias("t"), F.element_at("rows", -1)["t"].alias("end"), F.size("rows").alias("n"), F.lit(1).alias("copied"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block"))
-    w = Window.partitionBy("series", "t").orderBy(F.col("modified_at").desc_nulls_last(), "frag_id", "line")
-    single = (
-        marked.where(~F.col("copy")).select("series", "sidecar", "frag_id", "modified_at", F.explode("rows").alias("r")).select("series", "sidecar", "frag_id", "modified_at", "r.t", "r.line")
-        .withColumn("k", F.row_number().over(w)).where("k = 1")
-        .select("series", "sidecar", "frag_id", "t", F.col("t").alias("end"), F.lit(1).alias("n"), F.lit(0).alias("copied"), F.col("line").alias("block"))
-    )
-    blocks = copied.unionByName(single).withColumn("bytes", (F.octet_length("block") + 1).cast("long"))
+    A block is what a fragment gives to a stretch of volumes of its series. All blocks stand in one order (series by hash,
+    sidecar, volume), which is cut into files every ``target_bytes``: small series share a file, a large one goes over
+    several."""
+    lines = volumes_of(F.col("body"))
+    stretch_of = lambda t: F.floor(t / STRETCH)
+    narrow = fragments.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", "modified_at", F.transform(lines, lambda r: F.struct(r["t"].alias("t"), (F.octet_length(r["line"]) + 1).alias("b"))).alias("ls"))
+    foot = cut(narrow.where(F.col("series").isNotNull() & (F.size("ls") > 0)).dropDuplicates(["frag_id"]))
+    lost = cut(lost_volumes(foot.select("frag_id", "series", "modified_at", F.transform("ls", lambda r: r["t"]).alias("ts"))))
+    marked = foot.join(lost.select("frag_id", F.lit(True).alias("contested")).distinct(), "frag_id", "left")
+    # a row for each fragment and stretch: its first volume and bytes
+    part = lambda df: df.groupBy("frag_id", "series", "sidecar", "stretch").agg(F.min("t").alias("t"), F.sum("b").cast("long").alias("bytes"))
+    rows = lambda df: df.select("frag_id", "series", "sidecar", F.explode("ls").alias("r")).select("frag_id", "series", "sidecar", "r.t", "r.b").withColumn("stretch", stretch_of(F.col("t")))
+    short = marked.where(F.col("contested").isNull() & (stretch_of(F.col("ls")[0]["t"]) == stretch_of(F.element_at("ls", -1)["t"])))  # all in one stretch
+    whole = short.select("frag_id", "series", "sidecar", stretch_of(F.col("ls")[0]["t"]).alias("stretch"), F.col("ls")[0]["t"].alias("t"), F.aggregate("ls", F.lit(0).cast("long"), lambda s, r: s + r["b"]).alias("bytes"))
+    others = rows(marked.where(F.col("contested").isNull() & (stretch_of(F.col("ls")[0]["t"]) != stretch_of(F.element_at("ls", -1)["t"]))))
+    kept = rows(marked.where("contested")).withColumn("block", F.floor(F.col("t") / 64)).join(lost, ["frag_id", "block"], "left").where(F.expr("coalesce(getbit(lost, cast(pmod(t, 64) as int)), 0) = 0"))
+    blocks = whole.unionByName(part(others)).unionByName(part(kept)).withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS)))
     # bytes before a block: those of the buckets before its own, of the stretches of volumes before its own within the
     # bucket, then those within the stretch
     stretch = ["bucket", "series", "sidecar", "stretch"]
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS))).withColumn("stretch", F.floor(F.col("t") / STRETCH))
     before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = cut(blocks.groupBy(*stretch).agg(F.sum("bytes").alias("bytes")))
+    blocks = cut(blocks)
+    sums = blocks.groupBy(*stretch).agg(F.sum("bytes").alias("bytes"))
     buckets = sums.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).select("bucket", before(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("first"))  # BUCKETS rows at most
     bases = sums.withColumn("base", before(Window.partitionBy("bucket").orderBy("series", "sidecar", "stretch"))).join(buckets, "bucket").select(*[F.col(c).alias(f"{c}_") for c in stretch[1:]], (F.col("first") + F.col("base")).alias("base"))
-    inner = blocks.withColumn("inner", before(Window.partitionBy(*stretch[1:]).orderBy("t", "frag_id")))
+    inner = blocks.withColumn("inner", before(Window.partitionBy(*stretch[1:]).orderBy("t", "frag_id")))  # what is kept of a stretch: a block for each volume at most
     same = (F.col("series") == F.col("series_")) & F.col("sidecar").eqNullSafe(F.col("sidecar_")) & (F.col("stretch") == F.col("stretch_"))
-    placed = inner.join(bases, same).withColumn("start", F.col("base") + F.col("inner")).withColumn("file", F.floor(F.col("start") / target_bytes))
-    return (
-        placed.groupBy("file", "series", "sidecar")
-        .agg(
-            F.min("start").alias("start"), F.min("t").alias("first_t"), F.max("end").alias("last_t"), F.sum("n").alias("n_volumes"), F.count("*").alias("n_blocks"), F.sum("copied").alias("n_copied"), F.sum("bytes").alias("n_bytes"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "block"))), lambda b: b["block"]), "\n").alias("body"),
-        )
+    placed = inner.join(bases, same).withColumn("start", F.col("base") + F.col("inner")).select("frag_id", F.struct("stretch", "start", F.floor(F.col("start") / target_bytes).alias("file")).alias("p"))
+    places = placed.groupBy("frag_id").agg(F.collect_list("p").alias("places"))  # a row for each stretch of a fragment
+    gone = lost.groupBy("frag_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "lost"))).alias("gone"))  # a row for each block of 64 volumes of a fragment
+    # the bodies meet their places by fragment, then their files
+    body = fragments.select("frag_id", "path", "sidecar", "body").where(series_key(F.col("path")).isNotNull()).dropDuplicates(["frag_id"]).join(places, "frag_id").join(gone, "frag_id", "left")
+    body = body.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", lines_of(F.col("body")).alias("raw"), lines.alias("rows"), "places", "gone")
+    left = F.when(F.col("gone").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda r: F.coalesce(F.getbit(F.try_element_at("gone", F.floor(r["t"] / 64)), F.pmod(r["t"], F.lit(64)).cast("int")), F.lit(0)) == 0))
+    copied = (F.col("gone").isNull() & (F.col("raw") == F.col("rows"))).cast("int")
+    given = body.select("series", "sidecar", left.alias("rows"), copied.alias("copied"), F.explode("places").alias("p")).select("series", "sidecar", "copied", "p.file", "p.start", F.when(F.size("rows") == 0, F.col("rows")).otherwise(F.filter("rows", lambda r: stretch_of(r["t"]) == F.col("p.stretch"))).alias("rows"))
+    given = given.select("file", "series", "sidecar", "start", "copied", F.col("rows")[0]["t"].alias("t"), F.element_at("rows", -1)["t"].alias("end"), F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block"))
+    pieces = given.repartition("file").groupBy("file", "series", "sidecar").agg(
+        F.min("start").alias("start"), F.min("t").alias("first_t"), F.max("end").alias("last_t"), F.sum("n").alias("n_volumes"), F.count("*").alias("n_blocks"), F.sum("copied").cast("long").alias("n_copied"),
+        F.sum(F.octet_length("block") + 1).alias("n_bytes"), F.array_sort(F.collect_list(F.struct("start", "t", "end", "block"))).alias("blocks"),
     )
+    # blocks whose volumes interleave are sorted line by line
+    in_order = F.forall(F.transform("blocks", lambda b, i: (i == 0) | (F.get(F.col("blocks"), i - 1)["end"] < b["t"])), lambda ok: ok)
+    by_volume = F.array_sort(F.flatten(F.transform("blocks", lambda b: lines_of(b["block"]))))
+    text = F.when(in_order, F.array_join(F.transform("blocks", lambda b: b["block"]), "\n")).otherwise(F.array_join(F.transform(by_volume, lambda r: r["line"]), "\n"))
+    return pieces.withColumn("body", text).drop("blocks")
 
 
 def packed(pieces: DataFrame) -> DataFrame:
@@ -153,7 +181,7 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fragments as many small Parquet files in the shared folder, merged by copying their row groups: a row per
     merged file."""
     folder = f"{re.sub('^file:/*', '/', checkpoint_dir(spark))}/fragments-{uuid.uuid4().hex}"
-    once = cut(_once(table(spark, sf_dir, "ts_fragments")))
+    once = cut(table(spark, sf_dir, "ts_fragments").select("frag_id", "path", "sidecar", "modified_at", "body").dropDuplicates(["frag_id"]))
     once.repartition(max(SMALL_FILES, once.count() // FRAGMENTS_A_FILE), "frag_id").write.parquet(f"{folder}/small")
     merged = parquet_blocks.compact(spark, f"{folder}/small", f"{folder}/large", TARGET_BYTES)
     return cut(merged).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_files", "n_blocks", "n_rows", "n_bytes", "error")

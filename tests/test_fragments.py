@@ -1,3 +1,4 @@
+import datetime
 import itertools
 from datetime import datetime as D
 
@@ -50,6 +51,21 @@ def test_large_series_is_cut(spark):
     assert len(out) > 1 and sum(r.n_volumes for r in out) == 60
 
 
+def test_a_hot_series_of_ten_thousand_deliveries(spark):
+    rows = [(i, P % 0, datetime.timedelta(seconds=i) + T0, body(range(i % 40, i % 40 + 5), value=i)) for i in range(10_000)]
+    out = G.consolidate(frags(spark, rows)).collect()
+    lines = [x.split("\t") for r in out for x in r.body.split("\n")]
+    assert [int(t) for t, _ in lines] == list(range(44))
+    assert all(int(v) == max(i for i in range(9_900, 10_000) if i % 40 <= int(t) < i % 40 + 5) for t, v in lines)
+
+
+def test_interleaving_fragments_come_out_by_volume(spark):
+    rows = [(1, P % 0, T0, body(range(0, 200, 2))), (2, P % 1, T1, body(range(1, 200, 2))), (3, P % 2, None, body([5, 6, 5000, 9000]))]
+    out = G.consolidate(frags(spark, rows)).collect()
+    assert [int(x.split("\t")[0]) for r in out for x in r.body.split("\n")] == [*range(200), 5000, 9000]
+    assert sum(r.n_volumes for r in out) == 202
+
+
 def test_empty(spark):
     assert G.consolidate(frags(spark, [])).count() == 0
     assert G.overlapping(G.footers(frags(spark, []))).count() == 0
