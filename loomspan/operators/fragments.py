@@ -46,16 +46,18 @@ def series_key(path: Column) -> Column:
 
 def lines_of(body: Column) -> Column:
     """Array of structs (t, line): the lines of a body that hold a volume; any line ending, header or not."""
-    cell = lambda x: F.trim(F.split(x, "\t").getItem(0)).try_cast("double")
+    cell = lambda x: F.trim(F.substring_index(x, "\t", 1)).try_cast("double")
     rows = F.transform(F.split(F.coalesce(body, F.lit("")), r"\r\n|\n|\r"), lambda x: F.struct(cell(x).alias("v"), x.alias("line")))
     kept = F.filter(rows, lambda r: r["v"].isNotNull() & ~F.isnan(r["v"]) & (r["v"] == F.floor(r["v"])) & (F.abs(r["v"]) < 9e15))
     return F.transform(kept, lambda r: F.struct(r["v"].cast("long").alias("t"), r["line"].alias("line")))
 
 
 def footers(fragments: DataFrame) -> DataFrame:
-    """One row per fragment of a series that holds a volume: frag_id, series, modified_at, n_bytes, ts (its volumes)."""
-    f = fragments.select("frag_id", series_key(F.col("path")).alias("series"), "modified_at", F.transform(lines_of(F.col("body")), lambda r: r["t"]).alias("ts"))
-    return f.where(F.col("series").isNotNull() & (F.size("ts") > 0)).select("frag_id", "series", "modified_at", F.array_sort(F.array_distinct("ts")).alias("ts"), (F.size("ts") - F.size(F.array_distinct("ts"))).alias("n_inner"))
+    """One row per fragment of a series: frag_id, series, modified_at, ts (its volumes, none maybe), n_inner."""
+    f = fragments.select("frag_id", series_key(F.col("path")).alias("series"), "modified_at", "body").where("series IS NOT NULL")
+    f = f.select("frag_id", "series", "modified_at", F.transform(lines_of(F.col("body")), lambda r: r["t"]).alias("all"))  # bodies are parsed once: nothing filters on the result
+    f = f.withColumn("ts", F.array_sort(F.array_distinct("all")))
+    return f.select("frag_id", "series", "modified_at", "ts", (F.size("all") - F.size("ts")).alias("n_inner"))
 
 
 def volume_blocks(foot: DataFrame) -> DataFrame:
@@ -78,10 +80,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping(footers(table(spark, sf_dir, "ts_fragments")).dropDuplicates(["frag_id"]))
 
 
-def volumes_of(body: Column) -> Column:
-    """Lines of a body by volume, one of each (of several the least)."""
-    rows = F.array_sort(lines_of(body))
-    return F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["t"] != r["t"]))
+def with_lines(df: DataFrame) -> DataFrame:
+    """``raw``: the lines of a body as they stand; ``rows``: by volume, one of each (of several the least). A column each,
+    as an expression inside a lambda is evaluated for every element."""
+    df = df.withColumn("raw", lines_of(F.col("body"))).drop("body").withColumn("sorted", F.array_sort("raw"))
+    rows = F.col("sorted")
+    return df.withColumn("rows", F.filter(rows, lambda r, i: (i == 0) | (F.get(rows, i - 1)["t"] != r["t"]))).drop("sorted")
 
 
 def lost_volumes(foot: DataFrame) -> DataFrame:
@@ -106,39 +110,40 @@ def consolidate(fragments: DataFrame, target_bytes: int = TARGET_BYTES) -> DataF
     A block is what a fragment gives to a stretch of volumes of its series. All blocks stand in one order (series by hash,
     sidecar, volume), which is cut into files every ``target_bytes``: small series share a file, a large one goes over
     several."""
-    lines = volumes_of(F.col("body"))
     stretch_of = lambda t: F.floor(t / STRETCH)
-    narrow = fragments.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", "modified_at", F.transform(lines, lambda r: F.struct(r["t"].alias("t"), (F.octet_length(r["line"]) + 1).alias("b"))).alias("ls"))
-    foot = cut(narrow.where(F.col("series").isNotNull() & (F.size("ls") > 0)).dropDuplicates(["frag_id"]))
+    keyed = fragments.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", "modified_at", "body").where("series IS NOT NULL")
+    narrow = with_lines(keyed).select("frag_id", "series", "sidecar", "modified_at", F.transform("rows", lambda r: F.struct(r["t"].alias("t"), (F.octet_length(r["line"]) + 1).alias("b"))).alias("ls"))
+    foot = cut(narrow.dropDuplicates(["frag_id"])).where(F.size("ls") > 0)
     lost = cut(lost_volumes(foot.select("frag_id", "series", "modified_at", F.transform("ls", lambda r: r["t"]).alias("ts"))))
     marked = foot.join(lost.select("frag_id", F.lit(True).alias("contested")).distinct(), "frag_id", "left")
-    # a row for each fragment and stretch: its first volume and bytes
-    part = lambda df: df.groupBy("frag_id", "series", "sidecar", "stretch").agg(F.min("t").alias("t"), F.sum("b").cast("long").alias("bytes"))
-    rows = lambda df: df.select("frag_id", "series", "sidecar", F.explode("ls").alias("r")).select("frag_id", "series", "sidecar", "r.t", "r.b").withColumn("stretch", stretch_of(F.col("t")))
-    short = marked.where(F.col("contested").isNull() & (stretch_of(F.col("ls")[0]["t"]) == stretch_of(F.element_at("ls", -1)["t"])))  # all in one stretch
-    whole = short.select("frag_id", "series", "sidecar", stretch_of(F.col("ls")[0]["t"]).alias("stretch"), F.col("ls")[0]["t"].alias("t"), F.aggregate("ls", F.lit(0).cast("long"), lambda s, r: s + r["b"]).alias("bytes"))
-    others = rows(marked.where(F.col("contested").isNull() & (stretch_of(F.col("ls")[0]["t"]) != stretch_of(F.element_at("ls", -1)["t"]))))
+    # a row for each fragment and stretch: its first volume and bytes. Places need short keys only: series or sidecars of
+    # equal hash would stand mixed in a file, as pieces of their own
+    marked = marked.select("frag_id", F.xxhash64("series").alias("s"), F.xxhash64("sidecar").alias("c"), "ls", "contested")
+    part = lambda df: df.groupBy("frag_id", "s", "c", "stretch").agg(F.min("t").alias("t"), F.sum("b").cast("long").alias("bytes"))
+    rows = lambda df: df.select("frag_id", "s", "c", F.explode("ls").alias("r")).select("frag_id", "s", "c", "r.t", "r.b").withColumn("stretch", stretch_of(F.col("t")))
+    ends = (stretch_of(F.col("ls")[0]["t"]), stretch_of(F.element_at("ls", -1)["t"]))
+    free = F.col("contested").isNull()
+    whole = marked.where(free & (ends[0] == ends[1])).select("frag_id", "s", "c", ends[0].alias("stretch"), F.col("ls")[0]["t"].alias("t"), F.aggregate("ls", F.lit(0).cast("long"), lambda s, r: s + r["b"]).alias("bytes"))
+    others = rows(marked.where(free & (ends[0] != ends[1])))
     kept = rows(marked.where("contested")).withColumn("block", F.floor(F.col("t") / 64)).join(lost, ["frag_id", "block"], "left").where(F.expr("coalesce(getbit(lost, cast(pmod(t, 64) as int)), 0) = 0"))
-    blocks = whole.unionByName(part(others)).unionByName(part(kept)).withColumn("bucket", F.pmod(F.xxhash64("series"), F.lit(BUCKETS)))
+    blocks = cut(whole.unionByName(part(others)).unionByName(part(kept)))
     # bytes before a block: those of the buckets before its own, of the stretches of volumes before its own within the
     # bucket, then those within the stretch
-    stretch = ["bucket", "series", "sidecar", "stretch"]
+    stretch, bucket = ["s", "c", "stretch"], F.pmod("s", F.lit(BUCKETS)).alias("bucket")
     before = lambda w: F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = cut(blocks)
-    sums = blocks.groupBy(*stretch).agg(F.sum("bytes").alias("bytes"))
+    sums = blocks.groupBy(*stretch).agg(F.sum("bytes").alias("bytes")).select("*", bucket)
     buckets = sums.groupBy("bucket").agg(F.sum("bytes").alias("bytes")).select("bucket", before(Window.partitionBy(F.lit(1)).orderBy("bucket")).alias("first"))  # BUCKETS rows at most
-    bases = sums.withColumn("base", before(Window.partitionBy("bucket").orderBy("series", "sidecar", "stretch"))).join(buckets, "bucket").select(*[F.col(c).alias(f"{c}_") for c in stretch[1:]], (F.col("first") + F.col("base")).alias("base"))
-    inner = blocks.withColumn("inner", before(Window.partitionBy(*stretch[1:]).orderBy("t", "frag_id")))  # what is kept of a stretch: a block for each volume at most
-    same = (F.col("series") == F.col("series_")) & F.col("sidecar").eqNullSafe(F.col("sidecar_")) & (F.col("stretch") == F.col("stretch_"))
-    placed = inner.join(bases, same).withColumn("start", F.col("base") + F.col("inner")).select("frag_id", F.struct("stretch", "start", F.floor(F.col("start") / target_bytes).alias("file")).alias("p"))
+    bases = sums.withColumn("base", before(Window.partitionBy("bucket").orderBy(*stretch))).join(buckets, "bucket").select(*stretch, (F.col("first") + F.col("base")).alias("base"))
+    inner = blocks.withColumn("inner", before(Window.partitionBy(*stretch).orderBy("t", "frag_id")))  # what is kept of a stretch: a block for each volume at most
+    placed = inner.join(bases, stretch).withColumn("start", F.col("base") + F.col("inner")).select("frag_id", F.struct("stretch", "start", F.floor(F.col("start") / target_bytes).alias("file")).alias("p"))
     places = placed.groupBy("frag_id").agg(F.collect_list("p").alias("places"))  # a row for each stretch of a fragment
     gone = lost.groupBy("frag_id").agg(F.map_from_entries(F.collect_list(F.struct("block", "lost"))).alias("gone"))  # a row for each block of 64 volumes of a fragment
     # the bodies meet their places by fragment, then their files
-    body = fragments.select("frag_id", "path", "sidecar", "body").where(series_key(F.col("path")).isNotNull()).dropDuplicates(["frag_id"]).join(places, "frag_id").join(gone, "frag_id", "left")
-    body = body.select("frag_id", series_key(F.col("path")).alias("series"), "sidecar", lines_of(F.col("body")).alias("raw"), lines.alias("rows"), "places", "gone")
+    body = with_lines(keyed.drop("modified_at").dropDuplicates(["frag_id"]).join(places, "frag_id").join(gone, "frag_id", "left"))
     left = F.when(F.col("gone").isNull(), F.col("rows")).otherwise(F.filter("rows", lambda r: F.coalesce(F.getbit(F.try_element_at("gone", F.floor(r["t"] / 64)), F.pmod(r["t"], F.lit(64)).cast("int")), F.lit(0)) == 0))
     copied = (F.col("gone").isNull() & (F.col("raw") == F.col("rows"))).cast("int")
-    given = body.select("series", "sidecar", left.alias("rows"), copied.alias("copied"), F.explode("places").alias("p")).select("series", "sidecar", "copied", "p.file", "p.start", F.when(F.size("rows") == 0, F.col("rows")).otherwise(F.filter("rows", lambda r: stretch_of(r["t"]) == F.col("p.stretch"))).alias("rows"))
+    given = body.select("series", "sidecar", left.alias("rows"), copied.alias("copied"), "places").select("series", "sidecar", "copied", "rows", F.explode("places").alias("p"))
+    given = given.select("series", "sidecar", "copied", "p.file", "p.start", F.filter("rows", lambda r: stretch_of(r["t"]) == F.col("p.stretch")).alias("rows"))
     given = given.select("file", "series", "sidecar", "start", "copied", F.col("rows")[0]["t"].alias("t"), F.element_at("rows", -1)["t"].alias("end"), F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("block"))
     pieces = given.repartition("file").groupBy("file", "series", "sidecar").agg(
         F.min("start").alias("start"), F.min("t").alias("first_t"), F.max("end").alias("last_t"), F.sum("n").alias("n_volumes"), F.count("*").alias("n_blocks"), F.sum("copied").cast("long").alias("n_copied"),
