@@ -12,7 +12,7 @@ single load there is nothing to compare, so no load is reported.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.session import cut, table
@@ -76,64 +76,83 @@ def mask_counts(cells: DataFrame, column: str = "mask") -> DataFrame:
 
 def rare_masks(counts: DataFrame) -> DataFrame:
     """Masks with their share of the column; ``rare`` below RARE_SHARE, the others are the dominant patterns."""
-    whole = counts.where(F.col("mask").isNotNull()).groupBy("tbl", "col", "mask").agg(F.sum("n").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("tbl", "col"))
-    return whole.withColumn("share", share).withColumn("rare", F.col("share") < RARE_SHARE)
+    there = counts.where(F.col("mask").isNotNull())
+    whole = there.groupBy("tbl", "col", "mask").agg(F.sum("n").alias("n"))
+    totals = there.groupBy("tbl", "col").agg(F.sum("n").alias("total"))  # a row per column
+    share = F.col("n") / F.col("total")
+    return whole.join(totals, ["tbl", "col"]).select("tbl", "col", "mask", "n", share.alias("share"), (share < RARE_SHARE).alias("rare"))
 
 
 def null_loads(counts: DataFrame) -> DataFrame:
     """Loads whose share of nulls lies far above that of the other loads (taken together and as their median)."""
     per = counts.groupBy("tbl", "col", "load_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("mask").isNull(), F.col("n")).otherwise(0)).alias("nulls"))
-    w = Window.partitionBy("tbl", "col")
-    per = per.withColumn("share", F.col("nulls") / F.col("n")).withColumn("others_n", F.sum("n").over(w) - F.col("n"))
-    per = per.withColumn("middle", F.percentile("share", F.lit(0.5)).over(w)).where(F.col("others_n") > 0)
+    per = per.withColumn("share", F.col("nulls") / F.col("n"))  # a row per column and load
+    whole = per.groupBy("tbl", "col").agg(F.sum("n").alias("all_n"), F.percentile("share", F.lit(0.5)).alias("middle"))
+    per = per.join(whole, ["tbl", "col"]).withColumn("others_n", F.col("all_n") - F.col("n")).where(F.col("others_n") > 0)
     se = F.sqrt((F.col("middle") * (1 - F.col("middle")) + 1.0 / F.col("others_n")) / F.col("n"))
     return per.where((F.col("share") - F.col("middle") >= NULL_GAP) & (F.col("share") >= NULL_RATIO * F.col("middle")) & ((F.col("share") - F.col("middle")) >= Z_MIN * se))
 
 
 def load_divergence(counts: DataFrame) -> DataFrame:
     """Jensen-Shannon divergence in bits between the masks of each load and the median load's masks (each mask's median
-    share over the loads, so that a load standing out does not blur what the others are held against)."""
+    share over the loads, so that a load standing out does not blur what the others are held against).
+
+    Only masks that a load has are looked at: of those it lacks, a median share q adds q / 2, so all of them together
+    half of what its own masks leave of 1."""
     c = counts.where(F.col("mask").isNotNull())
     loads = c.groupBy("tbl", "col", "load_id").agg(F.sum("n").alias("total"))
-    masks = c.select("tbl", "col", "mask").distinct()
-    grid = loads.join(masks, ["tbl", "col"]).join(c, ["tbl", "col", "load_id", "mask"], "left").withColumn("p", F.coalesce(F.col("n"), F.lit(0)) / F.col("total"))
-    typical = grid.groupBy("tbl", "col", "mask").agg(F.percentile("p", F.lit(0.5)).alias("q0"))
-    typical = typical.withColumn("q", F.try_divide("q0", F.sum("q0").over(Window.partitionBy("tbl", "col"))))
-    g = grid.join(typical.where(F.col("q").isNotNull()), ["tbl", "col", "mask"])
+    p = c.join(loads, ["tbl", "col", "load_id"]).withColumn("p", F.col("n") / F.col("total"))
+    n_loads = loads.groupBy("tbl", "col").agg(F.count("*").alias("n_loads"))
+    # median over all loads: those without the mask stand before the shares found
+    at = 0.5 * (F.col("n_loads") - 1) - (F.col("n_loads") - F.size("ps"))
+    place = lambda k: F.when(k < 0, F.lit(0.0)).otherwise(F.get("ps", k.cast("int")))
+    low, high = F.floor(at), F.ceil(at)
+    shares = p.groupBy("tbl", "col", "mask").agg(F.array_sort(F.collect_list("p")).alias("ps"))  # a number per load
+    typical = shares.join(n_loads, ["tbl", "col"]).select("tbl", "col", "mask", (place(low) + (at - low) * (place(high) - place(low))).alias("q0"))
+    sums = typical.groupBy("tbl", "col").agg(F.sum("q0").alias("sum"), F.sum((F.col("q0") > 0).cast("int")).alias("n_typical")).where("sum > 0")
+    g = p.join(typical, ["tbl", "col", "mask"]).join(sums, ["tbl", "col"]).withColumn("q", F.col("q0") / F.col("sum"))
     mid = (F.col("p") + F.col("q")) / 2
     term = lambda x: F.when(x > 0, x * F.log2(x / mid)).otherwise(0.0) / 2
     return g.groupBy("tbl", "col", "load_id").agg(
-        F.first("total").alias("n"), F.sum(term(F.col("p")) + term(F.col("q"))).alias("js"), F.sum((F.col("p") + F.col("q") > 0).cast("int")).alias("k")
+        F.first("total").alias("n"), (F.sum(term(F.col("p")) + term(F.col("q"))) + F.greatest(F.lit(0.0), 1 - F.sum("q")) / 2).alias("js"),
+        (F.first("n_typical") + F.sum((F.col("q0") <= 0).cast("int"))).alias("k"),
     )
 
 
 def shifted_loads(counts: DataFrame) -> DataFrame:
     d = load_divergence(counts)
     chance = (F.col("k") - 1) / (8 * F.log(F.lit(2.0)) * F.col("n"))
-    n_loads = F.count("*").over(Window.partitionBy("tbl", "col"))
-    return d.withColumn("excess", F.col("js") - 2 * chance).withColumn("n_loads", n_loads).where((F.col("excess") >= SHIFT_MIN) & (F.col("n_loads") > 1))
+    several = d.groupBy("tbl", "col").agg(F.count("*").alias("n_loads")).where("n_loads > 1")
+    return d.withColumn("excess", F.col("js") - 2 * chance).join(several, ["tbl", "col"]).where(F.col("excess") >= SHIFT_MIN)
+
+
+#: The declared form on the values: what the exact check holds against the values that the masks lead to.
+FORMS = {
+    "path": lambda v: v.rlike(PATH_FORM) & (F.regexp_extract(v, r"/ses-([A-Za-z0-9]+)/func/", 1) == F.regexp_extract(v, r"_ses-([A-Za-z0-9]+)_task-[^/]*$", 1)),
+    "tr": lambda v: v.cast("double").between(0.2, 10.0) & ~F.isnan(v.cast("double")),
+    "coverage": lambda v: v.cast("double").between(0.0, 1.0) & ~F.isnan(v.cast("double")),
+}
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record and profiled column: value mask, form check on the mask, mask compared between loads."""
+    """One row per record and profiled column: value as text, its mask, the mask compared between loads."""
     f = table(spark, sf_dir, "timeseries_files").select(F.col("file_id").alias("rec_id"), "load_id", "path", "tr").distinct()
     n = table(spark, sf_dir, "node_sets").select(F.col("node_id").alias("rec_id"), "load_id", "coverage").distinct()
 
-    def number(df: DataFrame, tbl: str, col: str, lo: float, hi: float) -> DataFrame:
-        ok = F.coalesce(F.col(col).between(lo, hi) & ~F.isnan(col), F.lit(True))
-        return df.select(F.lit(tbl).alias("tbl"), F.lit(col).alias("col"), "load_id", "rec_id", number_mask(F.col(col)).alias("mask"), ok.alias("fits"), F.when(ok, number_mask(F.col(col))).alias("shape"), F.col(col).isNotNull().alias("there"))
+    def cells(df: DataFrame, tbl: str, col: str) -> DataFrame:
+        v = F.col(col)
+        mask, shape = (path_mask(v), root_mask(v)) if col == "path" else (number_mask(v), number_mask(v))
+        return df.select(F.lit(tbl).alias("tbl"), F.lit(col).alias("col"), "load_id", "rec_id", v.cast("string").alias("v"), mask.alias("mask"), F.when(v.isNotNull(), shape).alias("shape"))
 
-    mask = path_mask(F.col("path"))
-    fits = F.coalesce(F.col("path").rlike(PATH_FORM) & (F.regexp_extract("path", r"/ses-([A-Za-z0-9]+)/func/", 1) == F.regexp_extract("path", r"_ses-([A-Za-z0-9]+)_task-[^/]*$", 1)), F.lit(True))
-    paths = f.select(F.lit("timeseries_files").alias("tbl"), F.lit("path").alias("col"), "load_id", "rec_id", mask.alias("mask"), fits.alias("fits"), F.when(fits, root_mask(F.col("path"))).alias("shape"), F.col("path").isNotNull().alias("there"))
-    return paths.unionByName(number(f, "timeseries_files", "tr", 0.2, 10.0)).unionByName(number(n, "node_sets", "coverage", 0.0, 1.0))
+    return cells(f, "timeseries_files", "path").unionByName(cells(f, "timeseries_files", "tr")).unionByName(cells(n, "node_sets", "coverage"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cut(_cells(spark, sf_dir))
-    counts = cut(mask_counts(cells))
-    # masks to look at: rare ones, and those of no declared form or of a form that the mask alone does not settle
+    full = cut(cells.groupBy("tbl", "col", "load_id", "mask", "shape").agg(F.count("*").alias("n")))
+    counts = full.groupBy("tbl", "col", "load_id", "mask").agg(F.sum("n").alias("n"))
+    # masks to look at: rare ones, and those of no declared form or of a form that the mask alone does not settle; a
+    # dominant mask of the declared form is right without a look at its values
     m = rare_masks(counts)
     settled = (
         F.when(F.col("col") == "path", F.col("mask").rlike(PATH_MASK_FORM))
@@ -141,10 +160,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("mask").rlike(r"^(0|\+[1-9]e-[0-9]+)$"))
     )
     look = m.where(F.col("rare") | ~settled).select("tbl", "col", "mask")
+    seen = cells.join(look, ["tbl", "col", "mask"], "left_semi")
+    fits = F.when(F.col("col") == "path", FORMS["path"](F.col("v"))).when(F.col("col") == "tr", FORMS["tr"](F.col("v"))).otherwise(FORMS["coverage"](F.col("v")))
+    bad = cut(seen.where(~fits).select("tbl", "col", "load_id", "rec_id", "shape"))
     none = F.lit(0).cast("long").alias("rec_id")
-    values = cells.join(look, ["tbl", "col", "mask"], "left_semi").where(~F.col("fits")).select("tbl", "col", F.lit("value").alias("issue"), "load_id", "rec_id").distinct()
+    values = bad.select("tbl", "col", F.lit("value").alias("issue"), "load_id", "rec_id").distinct()
     nulls = null_loads(counts).select("tbl", "col", F.lit("nulls").alias("issue"), "load_id", none)
-    shapes = mask_counts(cells.where(F.col("there") & F.col("fits")), "shape")
+    # shapes of the valid values: all values less the bad ones
+    wrong = bad.groupBy("tbl", "col", "load_id", F.col("shape").alias("mask")).agg((-F.count("*")).alias("n"))
+    all_ = full.where(F.col("shape").isNotNull()).select("tbl", "col", "load_id", F.col("shape").alias("mask"), "n")
+    shapes = all_.unionByName(wrong).groupBy("tbl", "col", "load_id", "mask").agg(F.sum("n").alias("n")).where("n > 0")
     shifts = shifted_loads(shapes).select("tbl", "col", F.lit("shift").alias("issue"), "load_id", none)
     return values.unionByName(nulls).unionByName(shifts)
 
