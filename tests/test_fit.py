@@ -59,6 +59,43 @@ def test_a_bad_node_is_dropped_and_links_keep_their_numbers(spark, project):
         W.fit_project(spark, bad, people, sc, W.Project(TR, exclude=(0, 1, 3, 4)))
 
 
+def moments_of(project, spark):
+    panel, people, sc, w = project
+    p = W.Project(TR)
+    runs = W.run_moments(panel.where("participant = 'sub-1'"), list(range(6)), W.Project(TR, method="whittle", lags=(1,))).collect()[0]
+    return np.reshape(runs.fc, (6, 6)), np.reshape(runs.cov, (-1, 6, 6)), np.array(runs.omega), [np.reshape(runs.series, (-1, 6))], 2.0 * sc, p
+
+
+def test_each_method_is_its_kernel(spark, project):
+    from loomspan.kernels import fits
+
+    fc, cov, w, series, start, p = moments_of(project, spark)
+    mask, a = start > 0, np.full(6, -0.05)
+    got = {m: W.fit_one(W.Project(TR, method=m, n_vol=60, n_sim=1), fc, cov, w, start, mask, a, start, 0.1, 8, series).C for m in W.METHODS}
+    weight = 0.1 * 36 / np.sum(start**2)
+    assert np.array_equal(got["gradient"], fits.fit_moments(fc, cov[0], start, mask, w, TR, (1,), a, p.beta, p.band, shrink=weight, prior=start, fit_omega=True, max_iter=8).C)
+    assert np.array_equal(got["whittle"], fits.fit_whittle(series, TR, start, mask, w, p.band, a, shrink=weight, prior=start, max_iter=8).C)
+    assert np.array_equal(got["gec"], fits.fit_iterated(fc, cov[0], start, lambda c: hopf.analytic(c, 1.0, a, w, TR, 1, p.beta, p.band), mask, max_iter=8, top=float(start.max())).C)
+    for x, y in __import__("itertools").combinations(W.METHODS, 2):
+        assert not np.allclose(got[x], got[y]), (x, y)
+
+
+def test_settings_that_cannot_be_met_are_errors():
+    for bad in ({"method": "nonsense"}, {"fit_a": "some"}, {"lags": (0,)}, {"lags": ()}, {"lags": (1, 2), "method": "gec"}, {"method": "whittle", "band": None}):
+        with pytest.raises(ValueError):
+            W.Project(TR, **bad)
+
+
+def test_several_lags_weights_and_a_profile(spark, project):
+    panel, people, sc, _ = project
+    few = panel.where("participant IN ('sub-0', 'sub-4')")
+    base = dict(G=1.0, a=-0.05, max_iter=8, lambdas=())
+    ec = lambda **more: np.array([r.ec for r in W.fit_project(spark, few, people, sc, W.Project(TR, **(base | more))).edges.orderBy("participant", "i", "j").collect()])
+    one = ec()
+    for more in ({"lags": (1, 2)}, {"w_fc": 0.1}, {"fit_a": "node"}, {"profile": np.linspace(0.2, 1, 6), "a": 0.05}, {"method": "whittle"}, {"method": "surrogate", "n_vol": 60, "n_sim": 1}):
+        assert not np.allclose(ec(**more), one), more
+
+
 def test_command_line(spark, project, tmp_path):
     panel, people, sc, _ = project
     panel.write.parquet(str(tmp_path / "panel"))
