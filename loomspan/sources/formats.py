@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: NIfTI-1 data types and MATLAB element types (fixed values).
@@ -134,16 +135,22 @@ class _PerFile(DataSourceReader):
 
 
 class _NiftiReader(_PerFile):
-    def rows(self, path: str) -> Iterator[tuple]:
-        data, _ = read_nifti(path)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """A batch of columns for each volume."""
+        if not partition.value:
+            return
+        data, _ = read_nifti(partition.value)
         data = data.reshape(data.shape + (1,) * (4 - data.ndim))
-        keep = np.nonzero(np.nan_to_num(data, nan=1.0)) if self.options.get("nonzero", "true") == "true" else np.indices(data.shape).reshape(4, -1)
-        for i, j, k, t, v in zip(*(x.tolist() for x in keep), data[tuple(keep)].astype(float).tolist()):
-            yield path, i, j, k, t, v
+        every = np.indices(data.shape[:3], dtype=np.int32).reshape(3, -1)
+        for t in range(data.shape[3]):
+            v = np.asarray(data[..., t], float).reshape(-1)
+            keep = np.flatnonzero(np.nan_to_num(v, nan=1.0)) if self.options.get("nonzero", "false") == "true" else slice(None)
+            v = v[keep]
+            yield pa.RecordBatch.from_arrays([pa.array([partition.value] * len(v), pa.string()), *[pa.array(x[keep]) for x in every], pa.array(np.full(len(v), t, np.int32)), pa.array(v)], names=["path", "i", "j", "k", "t", "v"])
 
 
 class Nifti(DataSource):
-    """Cells of images; with option ``nonzero`` (default true) only those that are not 0."""
+    """Cells of images; with option ``nonzero`` only those that are not 0 (NaN is not)."""
 
     @classmethod
     def name(cls) -> str:

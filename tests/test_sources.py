@@ -82,7 +82,9 @@ def test_nifti(spark, tmp_path):
     got, at = formats.read_nifti(str(tmp_path / "a.nii"))
     assert (got == data).all() and np.allclose(at, affine)
     formats.register(spark)
-    rows = {(r.i, r.j, r.k, r.v) for r in spark.read.format("nifti").load(str(tmp_path / "*.nii")).collect()}
+    every = spark.read.format("nifti").load(str(tmp_path / "*.nii")).collect()
+    assert len(every) == 24 and all(r.v == data[r.i, r.j, r.k] and r.t == 0 for r in every)
+    rows = {(r.i, r.j, r.k, r.v) for r in spark.read.format("nifti").option("nonzero", "true").load(str(tmp_path / "*.nii")).collect()}
     assert rows == {(1, 2, 0, 5.0), (3, 0, 1, -7.0)}
     with pytest.raises(ValueError):
         (tmp_path / "b.nii").write_bytes(b"x" * 400)
