@@ -40,7 +40,6 @@ LOST = "\ufffd"
 SUPPORT = 2  # places with twins that a single-byte transformation needs
 SELF_SUPPORT = 2  # different telling words that a transformation of several bytes needs where no twin is at hand
 NEAR_TEXTS, NEAR_RATIO = 8, 8  # texts that hold a repaired letter between its neighbours, and times those of the garbled one
-REPEATED = 3  # a text garbled more often than this stays garbled in part
 WHITE = r"[ \t\r\n\f\x0B]+"
 UNSPACED = "\u3000-\u9fff\uac00-\ud7af\uff00-\uffef"  # scripts written without spaces: a run of them is a word of its own
 
@@ -299,9 +298,9 @@ def restore(text: str, words: dict[str, list[str]]) -> str:
             if (r := repair(w, *h.split(">"))) is not None:
                 w = r
                 break
-        for _ in range(REPEATED):
+        while True:  # each repair takes several characters for one, so it ends
             nxt = next((r for h in how_many if (r := repair(w, *h.split(">"))) is not None), None)
-            if nxt is None:
+            if nxt is None or len(nxt) >= len(w):
                 break
             w = nxt
         return w
