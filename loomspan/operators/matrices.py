@@ -226,7 +226,11 @@ def wn_rank_acompcor(spark, d):
     return table(spark, d, "part").withColumn("k", F.row_number().over(w)).where("k <= 2").select("p_brand", "p_size", "p_partkey", "k")
 
 
-sl_acompcor = wn_rank_acompcor
+def sl_acompcor(spark, d):
+    """The n best of the retained ones only, whatever their group (ties by name)."""
+    kept = table(spark, d, "part").where("p_size > 10")
+    best = kept.withColumn("g", F.pmod("p_partkey", F.lit(64))).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("p_retailprice"), "p_partkey"))).where("k <= 5")  # 5 of each part, then 5 of those
+    return best.select("p_partkey", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("k")).where("k <= 5")
 
 
 # ---------------------------------------------------------------------------------------------------- group statistics
@@ -292,7 +296,13 @@ def ag_flows(spark, d):
     return flows(_flow(spark, d)).select("participant", "region", *[r(c, 5).alias(c) for c in ("in_flow", "out_flow", "total_flow")])
 
 
-sl_flow_sort = ag_flows
+def sl_flow_sort(spark, d):
+    """The table of flows with each region's place, greatest total flow first (ties by participant and region)."""
+    f = flows(_flow(spark, d)).withColumn("key", F.round("total_flow", 9))
+    blocks = f.groupBy("key").agg(F.count("*").alias("n"))  # places start from counts of equal flows
+    first = blocks.select("key", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("key")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = Window.partitionBy("key").orderBy("participant", "region")
+    return f.join(first, "key").select((F.col("before") + F.row_number().over(w)).alias("place"), "participant", "region", r("total_flow", 5).alias("total_flow"))
 
 
 def sl_top_regions(spark, d):
@@ -402,8 +412,8 @@ def snk_search(spark, d):
 # ---------------------------------------------------------------------------------------------------- matrices in and out
 def snk_matrix(spark, d):
     """Edge table as a matrix, a row for each i."""
-    m = _fc(spark, d).where("participant = 0")
-    return m.groupBy("i").pivot("j", list(range(4))).agg(F.first(r("v", 5))).toDF("i", "c0", "c1", "c2", "c3")
+    columns = [f"c{k}" for k in range(C.WIDE)]
+    return _fc(spark, d).groupBy("participant", "i").pivot("j", list(range(C.WIDE))).agg(F.first(r("v", 5))).toDF("participant", "i", *columns)
 
 
 def snk_timeseries(spark, d):
@@ -418,13 +428,13 @@ def src_timeseries(spark, d):
 
 def src_matrix(spark, d):
     """Rows of text to (i, j, v)."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 4).cast("string")), "\t").alias("line"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), "\t").alias("line"))
     return e.select("i", F.posexplode(F.split("line", "\t")).alias("j", "s")).select("i", "j", r(F.col("s").cast("double"), 4).alias("v"))
 
 
 def src_mrtrix_csv(spark, d):
     """The same from comma-separated lines."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.array_join(F.transform(F.slice("embedding", 1, 5), lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("line"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), ",").alias("line"))
     return e.select("i", F.posexplode(F.split("line", ",")).alias("j", "s")).select("i", "j", r(F.col("s").cast("double"), 4).alias("v"))
 
 
@@ -436,7 +446,12 @@ def src_parcel_map(spark, d):
     return lab.select("pos", "name").join(named, "name", "left")
 
 
-src_map = src_parcel_map
+def src_map(spark, d):
+    """The map's values as z-scores over the parcels that have one (sd 0 counts as 1), and how many have none."""
+    m = src_parcel_map(spark, d)
+    s = m.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"), F.count_if(F.col("value").isNull()).alias("n_missing"))
+    x = m.withColumn("k", F.lit(1)).join(F.broadcast(s.withColumn("k", F.lit(1))), "k")  # one row
+    return x.select("pos", "name", r((F.col("value") - F.col("m")) / F.coalesce(F.nullif("sd", F.lit(0.0)), F.lit(1.0)), 5).alias("z"), "n_missing")
 
 
 def snk_labels(spark, d):
@@ -506,7 +521,7 @@ _FLOWQ = f"WITH {_FLOW} SELECT participant, region, {_r('in_flow', 5)} AS in_flo
 _ACOMP = "SELECT p_brand, p_size, p_partkey, row_number() OVER w AS k FROM part WINDOW w AS (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) QUALIFY k <= 2"
 _BEST = "(SELECT G, a, fit_rmse AS value, ordinal FROM searched WHERE valid AND fit_rmse IS NOT NULL ORDER BY CASE WHEN G <= 0 THEN 1 ELSE 0 END, fit_rmse, ordinal LIMIT 1)"
 _PMAP = f"WITH {C.LABELS}, v AS (SELECT s_nationkey, avg(s_acctbal) AS v FROM supplier GROUP BY 1) SELECT pos, name, CASE WHEN s_nationkey % 5 <> 0 THEN round(v, 4) END AS value FROM labels LEFT JOIN v ON pos = s_nationkey"
-_MAT = "SELECT vec_id AS i, CAST(unnest(range(5)) AS INT) AS j, round(CAST(unnest([embedding[1], embedding[2], embedding[3], embedding[4], embedding[5]]) AS DOUBLE), 4) + 0.0 AS v FROM embeddings"
+_MAT = "SELECT vec_id AS i, CAST(unnest(range(len(embedding))) AS INT) AS j, round(CAST(unnest(embedding) AS DOUBLE), 4) + 0.0 AS v FROM embeddings"
 
 
 def _axis(axis: str) -> str:
@@ -535,11 +550,12 @@ SQL = {
     "flt_dummy": "WITH v AS (SELECT DISTINCT tag, t, trans_x, non_steady_state_outlier FROM confound_volumes), n AS (SELECT tag, CAST(sum(non_steady_state_outlier) AS BIGINT) AS n FROM v GROUP BY 1) SELECT v.tag, count(*) AS n, min(t - n.n) AS first, max(t - n.n) AS last FROM v JOIN n ON v.tag = n.tag WHERE t >= n.n GROUP BY 1",
     "flt_short_runs": "SELECT tag, count(DISTINCT t) AS n, CASE WHEN count(DISTINCT t) < 90 THEN 'too short' WHEN max(trans_y) <= min(trans_y) THEN 'constant' END AS reason FROM confound_volumes GROUP BY 1",
     "prj_spikes": "SELECT tag, t, row_number() OVER (PARTITION BY tag ORDER BY t) - 1 AS spike, CAST(1.0 AS DOUBLE) AS v FROM (SELECT DISTINCT tag, t, framewise_displacement FROM confound_volumes WHERE framewise_displacement > 0.5 AND NOT isnan(framewise_displacement))",
-    "wn_rank_acompcor": _ACOMP, "sl_acompcor": _ACOMP,
+    "wn_rank_acompcor": _ACOMP, "sl_acompcor": "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_size > 10 QUALIFY k <= 5",
     "ag_welch": f"WITH {_WCEN}, g AS (SELECT i, j, avg(fc) FILTER (grp = 0) AS m0, avg(fc) FILTER (grp = 1) AS m1, var_samp(fc) FILTER (grp = 0) AS s0, var_samp(fc) FILTER (grp = 1) AS s1, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1 FROM wfg WHERE i <> j GROUP BY 1, 2) SELECT i, j, {_r('(m0 - m1) / sqrt(s0 / n0 + s1 / n1)', 4)} AS t, {_r('pow(s0 / n0 + s1 / n1, 2) / (pow(s0 / n0, 2) / (n0 - 1) + pow(s1 / n1, 2) / (n1 - 1))', 4)} AS df, {_r('m0', 4)} AS mean_0, {_r('m1', 4)} AS mean_1 FROM g",
     "ag_strength": f"WITH {_WCEN}, {_wl('[1]')}, g AS (SELECT a.participant, avg(a.v) AS m, avg(abs(a.v - b.v)) AS s FROM wl a JOIN wl b ON a.participant = b.participant AND a.i = b.j AND a.j = b.i WHERE a.i <> a.j GROUP BY 1) SELECT participant, {_r('m')} AS mean_strength, {_r('s / (abs(m) + 1e-12)', 3)} AS asymmetry FROM g",
     "wn_rank_fdr": f"WITH o AS (SELECT pow(o_totalprice / 500000.0, 3) AS p FROM orders), k AS (SELECT p, row_number() OVER (ORDER BY p) AS rank, count(*) OVER () AS n FROM o), l AS (SELECT max(p) AS lim FROM k WHERE p <= 0.05 * rank / n) SELECT coalesce(p <= lim, false) AS reject, count(*) AS n, {_r('max(p)', 9)} AS p_max FROM o, l GROUP BY 1",
-    "ag_flows": _FLOWQ, "sl_flow_sort": _FLOWQ,
+    "ag_flows": _FLOWQ,
+    "sl_flow_sort": f"WITH {_FLOW} SELECT row_number() OVER (ORDER BY round(in_flow + out_flow, 9) DESC, participant, region) AS place, participant, region, {_r('in_flow + out_flow', 5)} AS total_flow FROM fl",
     "sl_top_regions": f"WITH {_FLOW} SELECT participant, row_number() OVER w AS k, region, {_r('in_flow + out_flow', 5)} AS total_flow FROM fl WINDOW w AS (PARTITION BY participant ORDER BY round(in_flow + out_flow, 9) DESC, region) QUALIFY k <= 3",
     "ag_surrogate_stats": f"WITH {_WCEN}, {_wl('[1, 3, 4, 5, 6, 7, 8, 9, 10, 11]')}, g AS (SELECT s.participant, s.i, s.j, max(abs(v.v)) AS v, avg(abs(s.v)) AS mu, stddev_pop(abs(s.v)) AS sd, count(*) AS n, sum(CAST(abs(s.v) >= abs(v.v) AS INT)) AS ge FROM wl s JOIN wl v ON s.participant = v.participant AND s.i = v.i AND s.j = v.j AND v.lag = 1 AND s.lag > 1 WHERE s.i <> s.j GROUP BY 1, 2, 3) SELECT participant, i, j, {_r('mu', 5)} AS mu, {_r('sd', 5)} AS sd, {_r('coalesce((v - mu) / nullif(sd, 0), 0)', 3)} AS z, {_r('(1 + ge) / (1 + n)')} AS p_emp FROM g",
     "ag_ndte_group": f"WITH {_FLOW}, a AS (SELECT f.*, unnest([CAST(g.grp AS VARCHAR), 'all']) AS grp FROM flow f JOIN (SELECT DISTINCT participant, grp FROM wide) g ON f.participant = g.participant) SELECT grp, i, j, {_r('avg(v)', 5)} AS mean, {_r('avg(CAST(v > 0.05 AS INT))', 5)} AS share, count(*) AS n FROM a GROUP BY 1, 2, 3",
@@ -553,10 +569,11 @@ SQL = {
     "so_error_surface": f"WITH {C.SEARCHED} SELECT {_r('G', 3)} AS G, max(fit_rmse) FILTER (round(a, 4) = -0.01) AS a1, max(fit_rmse) FILTER (round(a, 4) = -0.02) AS a2, max(fit_rmse) FILTER (round(a, 4) = -0.03) AS a3, max(fit_rmse) FILTER (round(a, 4) = -0.04) AS a4 FROM searched WHERE stage IN ('coarse', 'extended') GROUP BY 1",
     "ag_search_summary": f"WITH {C.SEARCHED} SELECT stage, count(*) AS n, sum(CAST(NOT valid AS INT)) AS n_invalid FROM searched GROUP BY 1",
     "snk_search": f"WITH {C.SEARCHED} SELECT ordinal, {_r('G')} AS G, {_r('a')} AS a, stage, valid, fit_rmse, fc_corr FROM searched",
-    "snk_matrix": f"WITH {_WCEN} SELECT i, " + ", ".join(f"max({_r('fc', 5)}) FILTER (j = {k}) AS c{k}" for k in range(4)) + " FROM wf WHERE participant = 0 GROUP BY 1",
+    "snk_matrix": f"WITH {_WCEN} SELECT participant, i, " + ", ".join(f"max({_r('fc', 5)}) FILTER (j = {k}) AS c{k}" for k in range(C.WIDE)) + " FROM wf GROUP BY 1, 2",
     "snk_timeseries": f"WITH {C.PANEL} SELECT participant, t, " + ", ".join(f"max({_r('x', 4)}) FILTER (node = {k}) AS r{k}" for k in range(3)) + " FROM panel WHERE node < 3 GROUP BY 1, 2",
     "src_timeseries": f"SELECT tag, node, count(x) AS n, {_r('max(x)')} AS most FROM (SELECT tag, unnest(['trans_x', 'trans_y', 'trans_z']) AS node, unnest([trans_x, trans_y, trans_z]) AS x FROM (SELECT DISTINCT tag, t, trans_x, trans_y, trans_z FROM confound_volumes)) GROUP BY 1, 2",
-    "src_matrix": _MAT, "src_mrtrix_csv": _MAT, "src_parcel_map": _PMAP, "src_map": _PMAP,
+    "src_matrix": _MAT, "src_mrtrix_csv": _MAT, "src_parcel_map": _PMAP,
+    "src_map": f"WITH pm AS ({_PMAP}) SELECT pos, name, {_r('(value - (SELECT avg(value) FROM pm)) / coalesce(nullif((SELECT stddev_pop(value) FROM pm), 0), 1)', 5)} AS z, (SELECT count(*) FILTER (value IS NULL) FROM pm) AS n_missing FROM pm",
     "snk_labels": f"WITH {C.LABELS} SELECT concat_ws(E'\\t', label_id, name, hemisphere, network) AS line FROM labels",
     "snk_json": f"WITH {_SCQ}, {C.LABELS}, keep AS (SELECT pos FROM labels WHERE label_id % 4 <> 0), grid AS (SELECT pos AS i, CAST(unnest(range(25)) AS INT) AS j FROM labels) SELECT g.i, g.j, k.v FROM grid g LEFT JOIN (SELECT * FROM sc WHERE i IN (SELECT pos FROM keep) AND j IN (SELECT pos FROM keep)) k ON g.i = k.i AND g.j = k.j WHERE g.i < 5 AND g.j < 5",
     "snk_qsirecon": f"WITH {_SCQ} SELECT i, j, v FROM sc",

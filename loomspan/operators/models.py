@@ -22,6 +22,7 @@ from loomspan.session import cut, table
 RUN = 512  # volumes of a run; a longer series is cut into runs
 SHORT, LEAST = 20, 40  # volumes that a run needs, and that it needs for a simulation
 STRETCH = 16 * RUN  # ids that are numbered in one task
+N_SURROGATES, NDTE_LAGS = 100, 10
 SWARM, SWARM_ROUNDS = 20, 30  # particles and rounds of mk_pso
 TR, BAND, BETA = 2.0, (0.02, 0.2), 0.02
 
@@ -187,7 +188,8 @@ def _loss(p: P.Problem, lags: list[int]):
     return m, hopf.moment_loss(m, len(p.omega), p.fc, [p.cov] * len(lags))
 
 
-mk_loss = _model(lambda p, x: [(_loss(p, [1])[1][0], _loss(p, [1, 2])[1][0])], "loss double, loss_two_lags double")
+mk_loss = _model(lambda p, x: [(_loss(p, [1])[1][0],)], "loss double")
+mk_loss_multi = _model(lambda p, x: [(n, _loss(p, list(range(1, n + 1)))[1][0]) for n in (2, 3)], "n_lags int, loss double")
 mk_bwd = _model(lambda p, x: _grid((lambda ml: ml[0].gradient(ml[1][1]))(_loss(p, [1]))), "i int, j int, v double")
 mk_bwd_multi = _model(lambda p, x: _grid((lambda ml: ml[0].gradient(ml[1][1]))(_loss(p, [1, 2]))), "i int, j int, v double")
 
@@ -200,7 +202,7 @@ def _parameter_rows(p: P.Problem) -> list[tuple]:
 
 mk_grad_params = _model(lambda p, x: _parameter_rows(p), "parameter string, i int, j int, v double")
 
-FIT = "method string, i int, j int, ec double, fit_rmse double, fc_corr double, n_iter int, error string"
+FIT = "method string, i int, j int, ec double, fit_rmse double, fc_corr double, n_iter int, converged boolean, error string"
 
 
 def fit_rows(method: str, p: P.Problem, x: np.ndarray, max_iter: int = 60) -> list[tuple]:
@@ -217,18 +219,27 @@ def fit_rows(method: str, p: P.Problem, x: np.ndarray, max_iter: int = 60) -> li
             f = fits.fit_iterated(p.fc, p.cov, p.sc, model, mask, 5e-3, 5e-3, max_iter)
         else:
             sim = P.Problem(p.sc, p.omega, p.fc, p.cov, TR, BAND, n_vol=120, seeds=(0,), beta=p.beta)
-            f = fits.fit_surrogate(p.fc, p.cov, p.sc, lambda c: P.simulated(sim, c, 1.0, -0.02)[:2], mask, 1.0, -0.02, p.omega, TR, 1, p.beta, BAND, max_iter=min(max_iter, 4))
-        return [(method, i, j, v, f.metrics["fit_rmse"], f.metrics["fc_corr"], f.n_iter, None) for i, j, v in _grid(f.C)]
+            f = fits.fit_surrogate(p.fc, p.cov, p.sc, lambda c: P.simulated(sim, c, 1.0, -0.02)[:2], mask, 1.0, -0.02, p.omega, TR, 1, p.beta, BAND, max_iter=max_iter)
+        return [(method, i, j, v, f.metrics["fit_rmse"], f.metrics["fc_corr"], f.n_iter, bool(f.converged), None) for i, j, v in _grid(f.C)]
     except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-        return [(method, None, None, None, None, None, None, str(e))]
+        return [(method, None, None, None, None, None, None, None, str(e))]
 
 
 mk_fit_gradient = _model(lambda p, x: fit_rows("gradient", p, x), FIT)
 mk_fit_whittle = _model(lambda p, x: fit_rows("whittle", p, x, 40), FIT)
 mk_fit_gec = _model(lambda p, x: fit_rows("gec", p, x), FIT)
-mk_fit_surrogate = _model(lambda p, x: fit_rows("surrogate", p, x), FIT)
+mk_fit_surrogate = _model(lambda p, x: fit_rows("surrogate", p, x, 200), FIT)
 mk_fit_one = _model(lambda p, x: [r for m in ("gradient", "gec") for r in fit_rows(m, p, x, 20)], FIT)
-mk_fit_job = mk_fit_one
+
+
+def _job(p: P.Problem, x: np.ndarray) -> list[tuple]:
+    """The fit of a run and those of its halves, each held against the other half."""
+    rows = [("whole", *r) for r in fit_rows("gradient", p, x, 20)]
+    held, seen = _cross(p, x, 0.1)
+    return [(*r[:-1], held, seen, r[-1]) for r in rows]
+
+
+mk_fit_job = _model(_job, "part string, " + FIT.replace(", error string", ", cv_fit_rmse double, cv_train_fit_rmse double, error string"))
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,19 +299,19 @@ def ag_noise_floor(spark, d):
     return e.groupBy("participant", "run").agg(F.avg("fit_rmse").alias("mean"), F.stddev_pop("fit_rmse").alias("sd"), F.count("fit_rmse").alias("n"), F.max("error").alias("error"))
 
 
-mk_ndte = _model(lambda p, x: _grid(flow.ndte(x, 4)), "i int, k int, ndte double")
+mk_ndte = _model(lambda p, x: _grid(flow.ndte(x, NDTE_LAGS)), "i int, k int, ndte double")
 
 
 def mk_linear_ndte(spark, d):
     def f(p: P.Problem, x: np.ndarray) -> list[tuple]:
-        m = _recursion(p, [0, 1, 2, 3])
-        return _grid(flow.transfer(flow.toeplitz_covariance([s[: x.shape[1], : x.shape[1]] for s in m.at]), x.shape[1], 4))
+        m = _recursion(p, list(range(NDTE_LAGS)))
+        return _grid(flow.transfer(flow.toeplitz_covariance([s[: x.shape[1], : x.shape[1]] for s in m.at]), x.shape[1], NDTE_LAGS))
 
     return per_run(spark, d, lambda x: f(_problem(x), x), "i int, k int, ndte double")
 
 
-def surrogates(spark, d, n: int = 20) -> DataFrame:
-    return _seeds(spark, d, lambda p, x, s: _grid(flow.ndte(flow.shifted(x, s), 4)), "i int, k int, ndte double", n)
+def surrogates(spark, d, n: int = N_SURROGATES) -> DataFrame:
+    return _seeds(spark, d, lambda p, x, s: _grid(flow.ndte(flow.shifted(x, s), NDTE_LAGS)), "i int, k int, ndte double", n)
 
 
 def mk_surrogates(spark, d):
@@ -312,13 +323,11 @@ def mk_surrogates(spark, d):
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                v = np.asarray(r.s)
-                sd = v.std()
-                z = (r.ndte - v.mean()) / sd if sd > 0 else 0.0
-                out.append((r.participant, r.run, r.i, r.k, r.ndte, z, (1 + int((v >= r.ndte).sum())) / (1 + len(v)), float(special.normal_sf(z)), special.reflected_kde_p(v, r.ndte)))
-            yield pd.DataFrame(out, columns=["participant", "run", "i", "k", "ndte", "z", "p_emp", "p_gauss", "p_kde"])
+            v, seen = np.stack(b["s"].to_numpy()) if len(b) else np.zeros((0, 1)), b["ndte"].to_numpy()
+            sd = v.std(1)
+            z = np.where(sd > 0, (seen - v.mean(1)) / np.where(sd > 0, sd, 1.0), 0.0)
+            out = b[["participant", "run", "i", "k", "ndte"]].assign(z=z, p_emp=(1 + (v >= seen[:, None]).sum(1)) / (1 + v.shape[1]))
+            yield out.assign(p_gauss=[float(special.normal_sf(a)) for a in z], p_kde=[special.reflected_kde_p(a, x) for a, x in zip(v, seen)])
 
     done = x.mapInPandas(work, "participant int, run bigint, i int, k int, ndte double, z double, p_emp double, p_gauss double, p_kde double")
     return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)

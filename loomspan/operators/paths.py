@@ -89,7 +89,10 @@ def ag_norm_sc(spark, d):
     return _norm(spark, d).select("i", "j", "count", *[F.round(c, 5).alias(c) for c in ("volcorr", "lencorr", "combined")])
 
 
-mk_normative = ag_norm_sc
+def mk_normative(spark, d):
+    """The whole builder: paths touched, weights, normalisation, and the matrix prepared for a model (each link and weight)."""
+    n = _norm(spark, d).select("i", "j", F.round("combined", 6).alias("v"))
+    return prepared(n).select("i", "j", F.round("v", 6).alias("v"))
 
 
 def mk_sl_conn(spark, d):
@@ -163,8 +166,18 @@ def jn_point_atlas(spark, d):
     return p.join(atlas, ["vi", "vj"], "left").select("sid", "p", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-jn_grid_nn = jn_point_atlas
-mk_map_pts = jn_point_atlas
+def jn_grid_nn(spark, d):
+    """A labelled grid on another one: each voxel of a grid of half the width takes its nearest one's label, -1 outside."""
+    own = table(spark, d, "supplier").groupBy((F.col("s_suppkey") % 13).cast("int").alias("vi"), (F.col("s_nationkey") % 12).cast("int").alias("vj")).agg(F.max("s_nationkey").alias("label"))
+    fine = spark.range(30 * 28).select((F.col("id") % 30).cast("int").alias("i"), F.floor(F.col("id") / 30).cast("int").alias("j"))  # the other grid's voxels
+    at = fine.select("i", "j", F.rint(0.5 * F.col("i") - 0.25).cast("int").alias("vi"), F.rint(0.5 * F.col("j") - 0.25).cast("int").alias("vj"))
+    return at.join(own, ["vi", "vj"], "left").select("i", "j", F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def mk_map_pts(spark, d):
+    """Points by a composed affine map: x' = A x + b of each coordinate, not rounded."""
+    p = C.points(spark, d)
+    return p.select("sid", "p", F.round(0.5 * F.col("roi") + 0.1 * F.col("qty") + 0.25, 6).alias("x"), F.round(F.col("qty") / 4 - 1.5, 6).alias("y"), F.round(-0.2 * F.col("roi") + 2.0, 6).alias("z"))
 
 
 def snk_cache(spark, d):
@@ -202,7 +215,7 @@ SQL = {
     "jn_pairs_touched": f"WITH {_T} SELECT i, j, count, round(lenw, 5) AS lenw FROM touched",
     "jn_pairs_endpoints": f"WITH {C.POINTS}, {C.LENGTHS}, {_ENDS} SELECT i, j, count, round(lenw, 5) AS lenw FROM endp",
     "ag_norm_sc": _NORM,
-    "mk_normative": _NORM,
+    "mk_normative": f"WITH n AS ({_NORM.replace(', 5) AS combined', ', 6) AS combined')}), s AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, 0.5 * combined AS v FROM n UNION ALL SELECT j, i, 0.5 * combined FROM n) GROUP BY 1, 2), m AS (SELECT i, j, least(ln(1 + v), 6.0) AS v FROM s), g AS (SELECT max(v) AS g FROM m) SELECT i, j, round(CASE WHEN v >= 0.01 * g THEN coalesce(v / nullif(g, 0), 0) * 0.2 ELSE 0 END, 6) AS v FROM m, g",
     "mk_sl_conn": f"WITH {C.POINTS}, {C.LENGTHS}, {_ENDS} SELECT i, j, count, round(lenw, 5) AS lenw FROM endp",
     "ag_roi_volume": f"WITH {_V} SELECT roi, n FROM vol",
     "ag_density3d": f"WITH {C.POINTS}, x AS (SELECT roi AS i, part % 12 - 1 AS j, CAST(qty AS INT) % 10 - 1 AS k FROM points) SELECT i, j, k, count(*) AS n FROM x WHERE i BETWEEN 0 AND 24 AND j BETWEEN 0 AND 10 AND k BETWEEN 0 AND 8 GROUP BY ALL",
@@ -212,7 +225,9 @@ SQL = {
     "ag_compare_sc": f"WITH {_T}, {_ENDS}, f AS (SELECT coalesce(a.x, 0) AS x, coalesce(b.y, 0) AS y FROM (SELECT i, j, ln(1 + count) AS x FROM touched WHERE i < j) a FULL JOIN (SELECT i, j, ln(1 + count) AS y FROM endp WHERE i < j) b ON a.i = b.i AND a.j = b.j) SELECT sum(CAST(x > 0 AS INT)) AS links_a, sum(CAST(y > 0 AS INT)) AS links_b, round(covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0), 5) AS r, bool_and(abs(x - y) < 1e-9) AS equal FROM f",
     "wn_diff": f"WITH {C.POINTS}, {C.LENGTHS} SELECT sid, round(length, 6) AS length FROM lengths",
     "ag_orientation": f"WITH {C.POINTS}, {_V}, f AS (SELECT 'as is' AS o, roi AS v FROM points UNION ALL SELECT 'flipped', 24 - roi FROM points), dn AS (SELECT o, v, count(*) AS n FROM f GROUP BY 1, 2), x AS (SELECT o, dn.n, vol.n AS vol FROM dn LEFT JOIN vol ON dn.v = vol.roi) SELECT o, round(coalesce(sum(n) FILTER (vol IS NOT NULL), 0) / sum(n), 6) AS inside, round(covar_pop(ln(1 + n), coalesce(vol, 0)) / nullif(sqrt(var_pop(ln(1 + n)) * var_pop(coalesce(vol, 0))), 0), 5) AS r FROM x GROUP BY 1",
-    "jn_point_atlas": _ATLAS, "jn_grid_nn": _ATLAS, "mk_map_pts": _ATLAS,
+    "jn_point_atlas": _ATLAS,
+    "jn_grid_nn": "WITH a AS (SELECT CAST(s_suppkey % 13 AS INT) AS vi, CAST(s_nationkey % 12 AS INT) AS vj, max(s_nationkey) AS label FROM supplier GROUP BY 1, 2), g AS (SELECT CAST(k % 30 AS INT) AS i, CAST(k // 30 AS INT) AS j FROM range(840) t(k)) SELECT i, j, coalesce(label, -1) AS label FROM g LEFT JOIN a ON vi = CAST(round_even(0.5 * i - 0.25, 0) AS INT) AND vj = CAST(round_even(0.5 * j - 0.25, 0) AS INT)",
+    "mk_map_pts": f"WITH {C.POINTS} SELECT sid, p, round(0.5 * CAST(roi AS DOUBLE) + 0.1 * qty + 0.25, 6) AS x, round(qty / 4 - 1.5, 6) AS y, round(-0.2 * CAST(roi AS DOUBLE) + 2.0, 6) AS z FROM points",
     "snk_cache": f"WITH {C.POINTS} SELECT sid, CASE WHEN max(qty) < 256 THEN 'uint8' WHEN max(qty) < 32768 THEN 'int16' ELSE 'float32' END AS dtype, min(qty) AS least, max(qty) AS most FROM points GROUP BY 1",
     "src_fiber_cache": f"WITH {C.POINTS}, n AS (SELECT sid, count(*) AS n FROM points GROUP BY 1) SELECT sid, n, CAST(coalesce(sum(n) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n",
 }

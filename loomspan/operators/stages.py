@@ -52,7 +52,7 @@ def snk_summary(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (src_participants_fallback, src_atlas_image, mk_affine, snk_normative, snk_fit, snk_summary)}
-QUERIES |= {"mk_loss_multi": models.mk_loss, "mk_bwd_multi": models.mk_bwd_multi, "src_mat_fibers": lambda spark, d: C.points(spark, d).select("sid", "p", "roi")}
+QUERIES |= {"mk_loss_multi": models.mk_loss_multi, "mk_bwd_multi": models.mk_bwd_multi, "src_mat_fibers": lambda spark, d: C.points(spark, d).select("sid", "p", "roi")}
 SQL = {
     "src_participants_fallback": "SELECT DISTINCT 'sub-' || regexp_extract(list_last(string_split(path, '/')), '(?:^|_)sub-([A-Za-z0-9]+)', 1) AS participant_id, 'all' AS \"group\" FROM timeseries_files WHERE regexp_extract(list_last(string_split(path, '/')), '(?:^|_)sub-([A-Za-z0-9]+)', 1) <> ''",
     "src_atlas_image": f"WITH {C.LABELS}, i AS (SELECT DISTINCT s_nationkey + 1 AS label_id FROM supplier) SELECT row_number() OVER (ORDER BY i.label_id) - 1 AS pos, i.label_id, coalesce(name, 'roi_' || i.label_id) AS name FROM i LEFT JOIN (SELECT * FROM labels WHERE label_id % 5 <> 0) l ON i.label_id = l.label_id",

@@ -9,7 +9,8 @@ from loomspan.session import table
 
 STEPS, HOURS, PEOPLE = 120, 6, 4
 ORIGIN_US = 1_704_067_200_000_000  # 2024-01-01
-WIDE = 8
+WIDE = 64  # values of an embedding: all are nodes
+STRETCH = 8192  # ids that are numbered in one task
 
 
 def day(ts: Column) -> Column:
@@ -37,11 +38,21 @@ pgrid AS (SELECT participant, kind, node, CAST(unnest(range({STEPS})) AS INT) AS
 panel AS (SELECT g.participant, g.node, g.t, coalesce(c.x, 0.0) AS x FROM pgrid g LEFT JOIN pcells c ON g.participant = c.participant AND g.kind = c.kind AND g.t = c.t)"""
 
 
+def numbered(e: DataFrame) -> DataFrame:
+    """Rows with t, their place among those of their label in id order: counts of stretches of ids, then places within a
+    stretch, so no window runs over a whole label."""
+    e = e.withColumn("part", F.floor(F.col("vec_id") / STRETCH))
+    counts = e.groupBy("label", "part").agg(F.count("*").alias("k"))  # a row for each stretch
+    w = Window.partitionBy("label").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("label").alias("label_"), F.col("part").alias("part_"), F.coalesce(F.sum("k").over(w), F.lit(0)).alias("before"))
+    t = (F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")) - 1).cast("int")
+    x = e.withColumn("t", t).join(before, F.col("label").eqNullSafe(F.col("label_")) & (F.col("part") == F.col("part_")))
+    return x.withColumn("t", (F.col("before") + F.col("t")).cast("int")).drop("label_", "part_", "before", "part")
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """participant, grp, t, node, x: embeddings of a label in id order as a series of 8 nodes."""
-    e = table(spark, sf_dir, "embeddings")
-    t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.withColumn("t", t).select(F.col("label").alias("participant"), (F.col("label") % 2).alias("grp"), "t", F.posexplode(F.slice("embedding", 1, WIDE)).alias("node", "v"))
+    """participant, grp, t, node, x: embeddings of a label in id order as a series, all values as nodes."""
+    rows = numbered(table(spark, sf_dir, "embeddings")).select(F.col("label").alias("participant"), (F.col("label") % 2).alias("grp"), "t", F.posexplode("embedding").alias("node", "v"))
     return rows.select("participant", "grp", "t", "node", F.col("v").cast("double").alias("x"))
 
 
