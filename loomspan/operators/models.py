@@ -310,27 +310,19 @@ def mk_linear_ndte(spark, d):
     return per_run(spark, d, lambda x: f(_problem(x), x), "i int, k int, ndte double")
 
 
-def surrogates(spark, d, n: int = N_SURROGATES) -> DataFrame:
-    return _seeds(spark, d, lambda p, x, s: _grid(flow.ndte(flow.shifted(x, s), NDTE_LAGS)), "i int, k int, ndte double", n)
-
-
 def mk_surrogates(spark, d):
-    """Significance of each link: surrogates are made one a task, their statistics by a task for each run."""
-    all_ = surrogates(spark, d)
-    s = all_.where("error IS NULL").groupBy("participant", "run", "i", "k").agg(F.sort_array(F.collect_list("ndte")).alias("s"))  # a number for each surrogate
-    x = mk_ndte(spark, d).drop("error").join(s, ["participant", "run", "i", "k"]).where("i <> k")
-    failed = all_.where("error IS NOT NULL").groupBy("participant", "run").agg(F.max("error").alias("error"))
+    """Significance of each link against circularly shifted surrogates of its run. A run makes its own surrogates, so its
+    volumes are not repeated for each of them."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v, seen = np.stack(b["s"].to_numpy()) if len(b) else np.zeros((0, 1)), b["ndte"].to_numpy()
-            sd = v.std(1)
-            z = np.where(sd > 0, (seen - v.mean(1)) / np.where(sd > 0, sd, 1.0), 0.0)
-            out = b[["participant", "run", "i", "k", "ndte"]].assign(z=z, p_emp=(1 + (v >= seen[:, None]).sum(1)) / (1 + v.shape[1]))
-            yield out.assign(p_gauss=[float(special.normal_sf(a)) for a in z], p_kde=[special.reflected_kde_p(a, x) for a, x in zip(v, seen)])
-
-    done = x.mapInPandas(work, "participant int, run bigint, i int, k int, ndte double, z double, p_emp double, p_gauss double, p_kde double")
-    return done.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+    def f(x: np.ndarray) -> list[tuple]:
+        seen = flow.ndte(x, NDTE_LAGS)
+        made = np.stack([flow.ndte(flow.shifted(x, seed), NDTE_LAGS) for seed in range(N_SURROGATES)])
+        sd = made.std(0)
+        z = np.where(sd > 0, (seen - made.mean(0)) / np.where(sd > 0, sd, 1.0), 0.0)
+        p = (1 + (made >= seen).sum(0)) / (1 + len(made))
+        return [(i, k, v, float(z[i, k]), float(p[i, k]), float(special.normal_sf(z[i, k])), special.reflected_kde_p(made[:, i, k], v)) for i, k, v in _grid(seen) if i != k]
+
+    return per_run(spark, d, f, "i int, k int, ndte double, z double, p_emp double, p_gauss double, p_kde double")
 
 
 @F.pandas_udf(T.DoubleType())
